@@ -2,21 +2,37 @@
 
 from pyspark.sql import functions as F
 
-from suffixspark.llm import lines
+from suffixspark.llm import lines, warc
 
 
 def documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_warc_chunks(spark, sf_dir):
+    chunks = warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+    number = lambda c: F.regexp_extract(c, "([0-9-]+)", 1).try_cast("long")
+    ends = chunks.filter("last")
+    return ends.select(number("record_id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"))
+
+
 def op5_line_dedup(spark, sf_dir):
     out = lines.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op5_line_dedup,)}
+QUERIES = {f.__name__: f for f in (op2_warc_chunks, op5_line_dedup)}
+
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 ORACLES = {
+    "op2_warc_chunks": f"""
+        with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as s from pages),
+        t as (select *, min(page_id) over (partition by html) as head from p),
+        c as (select s, string_agg(substr('{_BASE32}', ((('0x' || substr(s, (k // 4) * 5 + 1, 5))::int >> (15 - 5 * (k % 4))) & 31) + 1, 1), '' order by k) as payload_digest
+              from (select distinct s from p), range(0, 32) r(k) group by s)
+        select page_id, strlen(html) as payload_bytes, payload_digest, case when page_id = head then 'response' else 'revisit' end as record_type,
+        case when page_id <> head then head end as refers_to from t join c using (s)""",
     "op5_line_dedup": """
         with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) l from documents),
         e as (select doc_id, unnest(l) line, unnest(range(1, len(l) + 1)) pos from d),
