@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from suffixspark.llm import lines, warc
+from suffixspark.llm import lines, topk, warc
 
 
 def documents(spark, sf_dir):
@@ -21,7 +21,12 @@ def op5_line_dedup(spark, sf_dir):
     return out.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_warc_chunks, op5_line_dedup)}
+def op10_exact_topk(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk.top_k(vectors, F.col("vec_id") % 50 == 0, 5)
+
+
+QUERIES = {f.__name__: f for f in (op2_warc_chunks, op5_line_dedup, op10_exact_topk)}
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -41,4 +46,9 @@ ORACLES = {
         m as (select k.*, f.key is not null and k.doc_id < f.keeper as lost from k left join f using (key))
         select doc_id, count(*) as n_lines, count(*) filter (lost) as n_dropped,
         sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not lost), '')) as kept_sha256 from m group by doc_id""",
+    "op10_exact_topk": """
+        with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+                   where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        s as (select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id)
+        select query_id, rank::int as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 5""",
 }
