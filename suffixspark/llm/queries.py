@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from suffixspark.llm import lines, topk, warc
+from suffixspark.llm import language, lines, topk, warc
 
 
 def documents(spark, sf_dir):
@@ -21,12 +21,19 @@ def op5_line_dedup(spark, sf_dir):
     return out.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op8_language_id(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    languages = language.learn(docs.filter(~language.held_out(F.col("doc_id"), 5)))
+    out = language.predict(docs.select("doc_id", "text"), languages)
+    return out.select("row.doc_id", language.held_out(F.col("row.doc_id"), 5).alias("held_out"), "lang_pred", "score")
+
+
 def op10_exact_topk(spark, sf_dir):
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0, 5)
 
 
-QUERIES = {f.__name__: f for f in (op2_warc_chunks, op5_line_dedup, op10_exact_topk)}
+QUERIES = {f.__name__: f for f in (op2_warc_chunks, op5_line_dedup, op8_language_id, op10_exact_topk)}
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
