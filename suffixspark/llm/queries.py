@@ -2,13 +2,38 @@
 
 from pyspark.sql import functions as F
 
-from suffixspark.llm import language, lines, tokens, topk, warc
+from suffixspark.llm import language, licenses, lines, tokens, topk, warc
 
 
 def documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_license_sentences(spark, sf_dir):
+    out = licenses.scan(documents(spark, sf_dir).select("doc_id", "text"))
+    names = F.array_join("licenses", "|")
+    return out.select("row.doc_id", F.size("sentences").cast("long").alias("n_known"), F.array_join("sentences", " ").alias("sentences"), names.alias("licenses"))
+
+
+def _license_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    table = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in licenses.known_sentences().items())
+    rules = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in reversed(dict(reversed(licenses.RULES)).items()))
+    split = lambda text: f"string_split(regexp_replace({text}, '([.!?;:])[ \\t]+', '\\1' || chr(10), 'g'), chr(10))"
+    low = f"translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}')"
+    wrapped = f"regexp_replace({low}, '[\\n\\r]+', ' ', 'g')"
+    return f"""
+        with known(sentence, name) as (values {table}), rules(seq, license) as (values {rules}),
+        d as (select doc_id, {split(low)} as a, {split(wrapped)} as b from documents),
+        s as (select doc_id, 'a' as way, unnest(a) as sentence, unnest(range(len(a))) as pos from d union all select doc_id, 'b', unnest(b), unnest(range(len(b))) from d),
+        m as (select doc_id, way, pos, name from s join known on known.sentence = trim(regexp_replace(s.sentence, '[^a-z0-9]+', ' ', 'g'), ' ')),
+        q as (select doc_id, way, count(*) as n, string_agg(name, ' ' order by pos) as seq from m group by 1, 2),
+        best as (select doc_id, arg_max(seq, (n, case way when 'a' then 1 else 0 end)) as seq, max(n) as n from q group by 1),
+        x as (select doc_id, n, seq, regexp_extract_all(seq, '\\b(?:{"|".join(k for k, _ in licenses.RULES)})\\b') as found from best),
+        l as (select doc_id, string_agg(license, '|' order by i) as licenses from (select doc_id, unnest(found) as f, unnest(range(len(found))) as i from x) join rules on f = rules.seq group by 1)
+        select documents.doc_id, coalesce(n, 0) as n_known, coalesce(x.seq, '') as sentences, coalesce(licenses, '') as licenses from documents left join x using (doc_id) left join l using (doc_id)"""
+
+
 def op2_warc_chunks(spark, sf_dir):
     chunks = warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
     number = lambda c: F.regexp_extract(c, "([0-9-]+)", 1).try_cast("long")
@@ -38,11 +63,12 @@ def op10_exact_topk(spark, sf_dir):
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0, 5)
 
 
-QUERIES = {f.__name__: f for f in (op2_warc_chunks, op4_token_counts, op5_line_dedup, op8_language_id, op10_exact_topk)}
+QUERIES = {f.__name__: f for f in (op1_license_sentences, op2_warc_chunks, op4_token_counts, op5_line_dedup, op8_language_id, op10_exact_topk)}
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 ORACLES = {
+    "op1_license_sentences": _license_sql(),
     "op2_warc_chunks": f"""
         with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as s from pages),
         t as (select *, min(page_id) over (partition by html) as head from p),
