@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from suffixspark.llm import language, licenses, lines, tokens, topk, warc
+from suffixspark.llm import decontaminate, language, licenses, lines, tokens, topk, warc
 
 
 def documents(spark, sf_dir):
@@ -51,6 +51,11 @@ def op5_line_dedup(spark, sf_dir):
     return out.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op6_decontamination(spark, sf_dir):
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    return decontaminate.leaks(documents(spark, sf_dir).select("doc_id", "text"), items)
+
+
 def op8_language_id(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     languages = language.learn(docs.filter(~language.held_out(F.col("doc_id"), 5)))
@@ -63,7 +68,7 @@ def op10_exact_topk(spark, sf_dir):
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0, 5)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_sentences, op2_warc_chunks, op4_token_counts, op5_line_dedup, op8_language_id, op10_exact_topk)}
+QUERIES = {f.__name__: f for f in (op1_license_sentences, op2_warc_chunks, op4_token_counts, op5_line_dedup, op6_decontamination, op8_language_id, op10_exact_topk)}
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 

@@ -2,16 +2,18 @@
 
 Writing: a record per row, payload the content in UTF-8 (null: empty). Of the rows with equal payloads of at least min_revisit_bytes, the one with
 the smallest id is a response (so are repeats of that id; nulls are largest), the others are revisit records, which carry the payload's digest and
-length but no payload. Tasks write files of their own name into a folder that all executors share; the list of files that finished is what is read,
+length but no payload. Each record is a gzip member. Tasks write files of their own name into a folder that all executors share; the list of files that finished is what is read,
 so that what a lost task left is ignored.
 
 Reading: payloads are streamed. Each chunk is a row (record_id, chunk_no, n_bytes, digest of the payload up to its end, last), so that no record is
 held whole. Records without payload have one empty chunk."""
 
 import base64
+import gzip
 import hashlib
 import io
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -57,11 +59,14 @@ def _write_record(out, key: int | None, url: str | None, payload: memoryview, sh
     else:
         http, body = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode(), payload
         head = _head("response", [*fields, ("Content-Type", "application/http;msgtype=response"), ("Content-Length", len(http) + len(payload))])
-    out.write(head + http)
-    for at in range(0, len(body), CHUNK_BYTES):
-        out.write(body[at : at + CHUNK_BYTES])
-    out.write(b"\r\n\r\n")
-    return len(head) + len(http) + len(body) + 4
+    member, size = zlib.compressobj(1, zlib.DEFLATED, 31), 0
+    for part in (head + http, *(body[at : at + CHUNK_BYTES] for at in range(0, len(body), CHUNK_BYTES)), b"\r\n\r\n"):
+        packed = member.compress(part)
+        out.write(packed)
+        size += len(packed)
+    last = member.flush()
+    out.write(last)
+    return size + len(last)
 
 
 def write_archives(rows: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -74,8 +79,8 @@ def write_archives(rows: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -
         for batch in batches:
             for i in range(batch.num_rows):
                 if out is None:
-                    name, size, records = f"{base}/{uuid.uuid4().hex}.warc", 0, 0
-                    out = fs.open_output_stream(name)
+                    name, size, records = f"{base}/{uuid.uuid4().hex}.warc.gz", 0, 0
+                    out = fs.open_output_stream(name, compression=None)
                 key, url, payload, sha, first = (batch.column(k)[i] for k in range(5))
                 size += _write_record(out, key.as_py(), url.as_py(), memoryview(payload.as_buffer()), sha.as_py(), first.as_py())
                 records += 1
@@ -144,7 +149,7 @@ def read_archives(files: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 fs, name = pa.fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
-                with io.BufferedReader(_Raw(fs.open_input_file(name)), 1 << 20) as stream:
+                with gzip.open(io.BufferedReader(_Raw(fs.open_input_file(name)), 1 << 20)) as stream:
                     rows = []
                     for row in _chunks(stream, chunk_bytes):
                         rows.append(row)
