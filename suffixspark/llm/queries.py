@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from suffixspark.llm import decontaminate, language, licenses, lines, tokens, topk, warc
+from suffixspark.llm import decontaminate, language, licenses, lines, mixing, tokens, topk, warc
 
 
 def documents(spark, sf_dir):
@@ -41,6 +41,11 @@ def op2_warc_chunks(spark, sf_dir):
     return ends.select(number("record_id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"))
 
 
+def op3_source_mix(spark, sf_dir):
+    out = mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "source"), ["doc_id"])
+    return out.select("row.doc_id", "size", "source_size", "target", "taken")
+
+
 def op4_token_counts(spark, sf_dir):
     out = tokens.count_tokens(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("row.doc_id", "n_pretokens", "n_tokens", "log_prob")
@@ -68,7 +73,7 @@ def op10_exact_topk(spark, sf_dir):
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0, 5)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_sentences, op2_warc_chunks, op4_token_counts, op5_line_dedup, op6_decontamination, op8_language_id, op10_exact_topk)}
+QUERIES = {f.__name__: f for f in (op1_license_sentences, op2_warc_chunks, op3_source_mix, op4_token_counts, op5_line_dedup, op6_decontamination, op8_language_id, op10_exact_topk)}
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
