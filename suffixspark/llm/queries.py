@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from suffixspark.llm import decontaminate, language, licenses, lines, mixing, tokens, topk, warc
+from suffixspark.llm import decontaminate, language, licenses, lines, maxent, mixing, tokens, topk, warc
 
 
 def documents(spark, sf_dir):
@@ -61,6 +61,12 @@ def op6_decontamination(spark, sf_dir):
     return decontaminate.leaks(documents(spark, sf_dir).select("doc_id", "text"), items)
 
 
+def op7_maxent_scores(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model, counts = maxent.train(docs.filter(~maxent.held_out(F.col("doc_id"))))
+    return maxent.score(docs, model, counts).withColumn("held_out", maxent.held_out(F.col("doc_id")))
+
+
 def op8_language_id(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     languages = language.learn(docs.filter(~language.held_out(F.col("doc_id"), 5)))
@@ -73,7 +79,7 @@ def op10_exact_topk(spark, sf_dir):
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0, 5)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_sentences, op2_warc_chunks, op3_source_mix, op4_token_counts, op5_line_dedup, op6_decontamination, op8_language_id, op10_exact_topk)}
+QUERIES = {f.__name__: f for f in (op1_license_sentences, op2_warc_chunks, op3_source_mix, op4_token_counts, op5_line_dedup, op6_decontamination, op7_maxent_scores, op8_language_id, op10_exact_topk)}
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
