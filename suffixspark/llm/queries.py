@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from suffixspark.llm import decontaminate, language, licenses, lines, maxent, mixing, tokens, topk, warc
+from suffixspark.llm import decontaminate, jaccard, language, licenses, lines, maxent, mixing, tokens, topk, warc
 
 
 def documents(spark, sf_dir):
@@ -74,12 +74,16 @@ def op8_language_id(spark, sf_dir):
     return out.select("row.doc_id", language.held_out(F.col("row.doc_id"), 5).alias("held_out"), "lang_pred", "score")
 
 
+def op9_jaccard_join(spark, sf_dir):
+    return jaccard.groups(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op10_exact_topk(spark, sf_dir):
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0, 5)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_sentences, op2_warc_chunks, op3_source_mix, op4_token_counts, op5_line_dedup, op6_decontamination, op7_maxent_scores, op8_language_id, op10_exact_topk)}
+QUERIES = {f.__name__: f for f in (op1_license_sentences, op2_warc_chunks, op3_source_mix, op4_token_counts, op5_line_dedup, op6_decontamination, op7_maxent_scores, op8_language_id, op9_jaccard_join, op10_exact_topk)}
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
