@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from suffixspark.llm import decontaminate, jaccard, language, lines, mixing
+from suffixspark.llm.rows import free_name
 from suffixspark.session import checkpoint_dir
 
 
@@ -40,7 +41,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = mixing.mix(docs, docs.columns).filter("times > 0")
-    return out.select("row.*", F.col("size").alias("mix_size"), F.col("target").alias("mix_target"), F.col("times").alias("mix_times"), F.col("taken").alias("mix_taken"))
+    return out.select("row.*", *[F.col(c).alias(free_name(docs, f"mix_{c}")) for c in ("size", "target", "times", "taken")])
 
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("source_mix", source_mix)]

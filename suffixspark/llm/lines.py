@@ -14,6 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from suffixspark.llm.rows import row_and
 from suffixspark.session import cut
 
 #: Frequent lines of up to this many rows (24 bytes each) are sent to the tasks; more are joined.
@@ -101,7 +102,7 @@ def _drop_sent(docs: DataFrame, frequent: DataFrame, min_chars: int) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(texts, pa.string())], ["row", "n_lines", "n_dropped", "text"])
 
     packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long"), F.col("text"))
-    return packed.mapInArrow(rows, f"row {docs.schema.simpleString()}, {RESULT}")
+    return packed.mapInArrow(rows, row_and(docs, RESULT))
 
 
 def _find(h1: np.ndarray, h2: np.ndarray, keeper: np.ndarray, i: int, x: int, y: int) -> int | None:
