@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from suffixspark.llm.pieces import MAX_WORD, TOKENIZERS, expected_counts, forward, lattice, vocabulary
+from suffixspark.llm.pieces import MAX_WORD, TOKENIZERS, PieceTable, expected_counts, forward, lattice, vocabulary
+from suffixspark.llm.rows import row_and
 
 SAMPLE_PER_LANG = 1000
 MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
@@ -72,6 +73,7 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     prior = np.log(np.array([sizes[n] for n in names], float) / sum(sizes.values()))
     prob = np.full((len(pieces) + 1, len(names)), 1.0 / (len(pieces) + 1))
     if len(table):
+        tables = PieceTable(pieces)
         words = sorted(set(table["word"]), key=lambda w: (len(w), w))
         number = {w: i for i, w in enumerate(words)}
         weight = np.zeros((len(words), len(names)))
@@ -80,7 +82,7 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
             counts = np.zeros_like(prob)
             for lo in range(0, len(words), WORDS_AT_ONCE):
                 some = words[lo : lo + WORDS_AT_ONCE]
-                counts += expected_counts(lattice(some, pieces), np.array([len(w) for w in some]), weight[lo : lo + WORDS_AT_ONCE], prob)
+                counts += expected_counts(lattice(some, tables), np.array([len(w) for w in some]), weight[lo : lo + WORDS_AT_ONCE], prob)
             prob = (counts + 0.01) / (counts + 0.01).sum(axis=0)
     return Languages(names, prob, prior)
 
@@ -89,7 +91,7 @@ class Scorer:
     """Texts -> log probabilities by language. The scores of words are kept up to MEMO_WORDS of them, then gathered anew."""
 
     def __init__(self, languages: Languages, pieces: dict[str, int]):
-        self.of, self.pieces = languages, pieces
+        self.of, self.table = languages, PieceTable(pieces)
         self._clear()
 
     def _clear(self) -> None:
@@ -100,8 +102,8 @@ class Scorer:
         new = [self.rows]
         for lo in range(0, len(words), WORDS_AT_ONCE):
             some = words[lo : lo + WORDS_AT_ONCE]
-            alpha = forward(lattice(some, self.pieces), self.of.prob)
-            new.append(np.log(np.maximum(alpha[np.arange(len(some)), [len(w) for w in some]], 1e-300)))
+            alpha = forward(lattice(some, self.table), self.of.prob)
+            new.append(np.log(np.maximum(alpha[[len(w) for w in some], np.arange(len(some))], 1e-300)))
         self.number |= zip(words, range(len(self.rows), len(self.rows) + len(words)), strict=True)
         self.rows = np.vstack(new)
 
@@ -139,7 +141,7 @@ def predict(docs: DataFrame, languages: Languages, text: str = "text", model: st
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(names, pa.string()), pa.array(score)], ["row", "lang_pred", "score"])
 
     languages_known = bool(languages.names)
-    return docs.select(F.struct("*").alias("row"), F.col(text).cast("string").alias("text")).mapInArrow(rows, f"row {docs.schema.simpleString()}, lang_pred string, score double")
+    return docs.select(F.struct("*").alias("row"), F.col(text).cast("string").alias("text")).mapInArrow(rows, row_and(docs, "lang_pred string, score double"))
 
 
 def held_out(key: Column, of: int) -> Column:
