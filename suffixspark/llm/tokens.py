@@ -8,60 +8,109 @@ The node a pre-token ends at has its count of tokens; a text's is the sum over i
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from suffixspark.llm.pieces import MAX_PIECE, TOKENIZERS, vocabulary
+from suffixspark.llm.pieces import MAX_PIECE, TOKENIZERS, PieceTable, code_points, prefix_hashes, vocabulary
+from suffixspark.llm.rows import row_and
 
 MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
-#: A trie that has grown to this many nodes is begun anew; counts don't change by it.
-MAX_NODES = 400_000
+#: A trie that has grown to this many words is begun anew; counts don't change by it.
+MAX_WORDS = 400_000
+#: Words of more characters are scored one by one; others in groups of at most so many characters, padded.
+LONG, CELLS = 512, 1 << 20
+TEXTS_AT_ONCE = 512
 MARK = "▁"
 
 
-class Trie(dict):
-    """Pre-token (bytes) -> (tokens, log probability). Looking up an unknown one inserts it."""
-
-    def __init__(self, pieces: dict[str, int], max_nodes: int = MAX_NODES):
-        super().__init__()
-        self.max_nodes, self.worst = max_nodes, -math.log(len(pieces) + 1)
-        self.cost = {p: -math.log(i + 1) for p, i in pieces.items()}
-        self._root()
-
-    def _root(self) -> None:
-        self.child: dict[tuple[int, str], int] = {}
-        self.score, self.tokens = [0.0], [0]
-
-    def __missing__(self, word: bytes) -> tuple[int, float]:
-        if len(self.score) > self.max_nodes:
-            self.clear()
-            self._root()
-        text = MARK + word.decode("utf-8", "replace")
-        path, node = [0], 0
-        for end, c in enumerate(text, 1):
-            at = self.child.get((node, c))
-            if at is None:
-                at = self.child[node, c] = len(self.score)
-                self._extend(text, end, path)
-            node = at
-            path.append(node)
-        self[word] = out = (self.tokens[node], self.score[node])
-        return out
-
-    def _extend(self, text: str, end: int, path: list[int]) -> None:
-        """Score the node for text[:end]; path has the nodes of the shorter prefixes."""
-        n = len(text[end - 1].encode("utf-8", "replace"))
-        best, fewest = self.score[path[end - 1]] + n * self.worst, self.tokens[path[end - 1]] + n
-        cost, score, tokens = self.cost.get, self.score, self.tokens
-        for start in range(max(0, end - MAX_PIECE), end):
-            c = cost(text[start:end])
-            if c is not None:
-                s = score[path[start]] + c
-                if s > best or s == best and tokens[path[start]] + 1 < fewest:
-                    best, fewest = s, tokens[path[start]] + 1
-        score.append(best)
-        tokens.append(fewest)
+class Trie:
+    """Pre-tokens (bytes) -> tokens and log probability. Words that are new are inserted together, level by level: the nodes of a level are the different
+    prefixes of that length, and each is scored once, from the nodes of the shorter prefixes."""
+
+    def __init__(self, pieces: dict[str, int], max_words: int = MAX_WORDS):
+        self.pieces, self.table, self.max_words = pieces, PieceTable(pieces), max_words
+        self.worst = -math.log(len(pieces) + 1)
+        self.cost = -np.log(np.arange(1, len(pieces) + 1))
+        self._clear()
+
+    def _clear(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.tokens, self.score = np.zeros(0, np.int64), np.zeros(0)
+
+    def look_up(self, split: list[list[bytes]]) -> list[np.ndarray]:
+        """The numbers of the words of each text, for tokens and score."""
+        if len(self.number) > self.max_words:
+            self._clear()
+        missing = set().union(*split) - self.number.keys()
+        if missing:
+            self._insert(list(missing))
+        get = self.number.__getitem__
+        return [np.fromiter(map(get, ws), np.int64, len(ws)) for ws in split]
+
+    def _insert(self, words: list[bytes]) -> None:
+        texts = [MARK + w.decode("utf-8", "replace") for w in words]
+        order = sorted(range(len(words)), key=lambda i: len(texts[i]))
+        tokens, score, lo = [self.tokens], [self.score], 0
+        while lo < len(order):
+            hi = lo + 1
+            while hi < len(order) and len(texts[order[hi]]) <= LONG and (hi + 1 - lo) * len(texts[order[hi]]) <= CELLS:
+                hi += 1
+            some = [texts[i] for i in order[lo:hi]]
+            t, s = self._levels(some) if len(some[0]) <= LONG else self._rolling(some[0])
+            tokens.append(t)
+            score.append(s)
+            lo = hi
+        first = len(self.tokens)
+        self.number |= {words[i]: first + k for k, i in enumerate(order)}
+        self.tokens, self.score = np.concatenate(tokens), np.concatenate(score)
+
+    def _levels(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        codes, lengths = code_points(texts)
+        sums, n = prefix_hashes(codes).T.copy(), len(texts)
+        node = [np.zeros(n, np.int64)]  # of each word at each level
+        score, tokens = [np.zeros(1)], [np.zeros(1, np.int64)]
+        last_score, last_tokens = np.zeros(n), np.zeros(n, np.int64)
+        for end in range(1, codes.shape[1] + 1):
+            there = np.flatnonzero(lengths >= end)
+            _, example, own = np.unique(sums[end, there], return_index=True, return_inverse=True)
+            example = there[example]
+            at = np.full(n, -1, np.int64)
+            at[there] = own
+            units = utf8_length(codes[example, end - 1])
+            above = node[end - 1][example]
+            best, fewest = score[end - 1][above] + units * self.worst, tokens[end - 1][above] + units
+            for k in range(1, min(end, MAX_PIECE) + 1):
+                found = self.table.find((sums[end, example] - sums[end - k, example] * self.table.power[k]) ^ np.uint64(k << 56))
+                hit = np.flatnonzero(found >= 0)
+                above = node[end - k][example[hit]]
+                s, t = score[end - k][above] + self.cost[found[hit]], tokens[end - k][above] + 1
+                better = (s > best[hit]) | ((s == best[hit]) & (t < fewest[hit]))
+                best[hit[better]], fewest[hit[better]] = s[better], t[better]
+            node.append(at)
+            score.append(best)
+            tokens.append(fewest)
+            over = np.flatnonzero(lengths == end)
+            last_score[over], last_tokens[over] = best[at[over]], fewest[at[over]]
+        return last_tokens, last_score
+
+    def _rolling(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The same for one very long word, without keeping its levels."""
+        recent = [(0.0, 0)]
+        for end in range(1, len(text) + 1):
+            n = len(text[end - 1].encode("utf-8", "replace"))
+            best = (recent[-1][0] + n * self.worst, -(recent[-1][1] + n))
+            for k in range(1, len(recent) + 1):
+                p = self.pieces.get(text[end - k : end])
+                if p is not None:
+                    best = max(best, (recent[-k][0] + float(self.cost[p]), -(recent[-k][1] + 1)))
+            recent = [*recent[-MAX_PIECE + 1 :], (best[0], -best[1])]
+        return np.array([recent[-1][1]]), np.array([recent[-1][0]])
+
+
+def utf8_length(codes: np.ndarray) -> np.ndarray:
+    return 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
 
 
 def count_tokens(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:
@@ -72,17 +121,16 @@ def count_tokens(docs: DataFrame, text: str = "text", model: str = MODEL) -> Dat
         trie = None
         for batch in batches:
             trie = trie if trie is not None else Trie(shared.value)
-            n, tokens, logs = [], [], []
-            for t in batch.column("text").cast(pa.binary()):
-                words = (t.as_py() or b"").split()
-                found = list(map(trie.__getitem__, words))
-                n.append(len(found))
-                tokens.append(sum(k for k, _ in found))
-                logs.append(math.fsum(s for _, s in found))
+            n, tokens, logs, texts = [], [], [], batch.column("text").cast(pa.binary())
+            for lo in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                for at in trie.look_up([(t.as_py() or b"").split() for t in texts[lo : lo + TEXTS_AT_ONCE]]):
+                    n.append(len(at))
+                    tokens.append(int(trie.tokens[at].sum()))
+                    logs.append(math.fsum(trie.score[at].tolist()))
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(n, pa.int64()), pa.array(tokens, pa.int64()), pa.array(logs, pa.float64())], ["row", "n_pretokens", "n_tokens", "log_prob"])
 
     packed = docs.select(F.struct("*").alias("row"), F.col(text).cast("string").alias("text"))
-    return packed.mapInArrow(rows, f"row {docs.schema.simpleString()}, n_pretokens long, n_tokens long, log_prob double")
+    return packed.mapInArrow(rows, row_and(docs, "n_pretokens long, n_tokens long, log_prob double"))
 
 
 def pretoken_counts(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:
@@ -101,7 +149,8 @@ def pretoken_counts(docs: DataFrame, text: str = "text", model: str = MODEL) ->
         trie = None
         for batch in batches:
             trie = trie if trie is not None else Trie(shared.value)
-            found = [trie[w.encode()][0] for w in batch.column(0).to_pylist()]
+            (at,) = trie.look_up([[w.encode() for w in batch.column(0).to_pylist()]])
+            found = trie.tokens[at]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], ["pretoken", "n", "n_tokens"])
 
     rows = docs.select(F.col(text).cast("string")).mapInArrow(count, "pretoken string, n long")
