@@ -1,6 +1,6 @@
 """License scans by sentences: known sentences become identifiers, and rules name the licenses of sequences of identifiers.
 
-A text is cut into sentences at line ends and after . ! ? ; or : before white space, and a second time with line ends as spaces (wrapped
+A text is cut into sentences at line ends and after . ! ? or ; before white space, and a second time with line ends as spaces (wrapped
 notices). A sentence is normalised: A-Z lower-cased, every run of other characters than letters a-z and digits made one space, and
 the words of a comment or a list mark at its start dropped with them. Known sentences are looked up; the reading with more known ones is taken (ties: the first). The rules
 are tried in order at each place of the sequence of identifiers, from left to right, and what one has matched is not matched again.
@@ -36,7 +36,8 @@ SENTENCES = {
     "Gpl2Ref": ["This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0-only", "Licensed under the GNU General Public License, version 2."],
     "Gpl3Ref": ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-only"],
     "GplFree": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
-    "Gpl2Free": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
+    "GplModify": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation;"],
+    "Later2": ["either version 2 of the License, or (at your option) any later version."],
     "GplHope": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."],
     "GplSee": ["See the GNU General Public License for more details."],
     "Lgpl21Ref": ["Licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1-only"],
@@ -59,12 +60,12 @@ RULES = [
     ("ApacheRef2 ApacheComply ApacheObtain ApacheAsIs ApacheSee", "Apache-2.0"), ("ApacheRef2 ApacheComply ApacheObtain", "Apache-2.0"), ("ApacheRef2 ApacheComply", "Apache-2.0"), ("ApacheRef2", "Apache-2.0"),
     ("BsdGrant BsdSource BsdBinary BsdEndorse BsdAsIs", "BSD-3-Clause"), ("BsdGrant BsdSource BsdBinary BsdEndorse", "BSD-3-Clause"), ("BsdGrant BsdSource BsdBinary BsdAsIs", "BSD-2-Clause"), ("BsdGrant BsdSource BsdBinary", "BSD-2-Clause"),
     ("Bsd2Ref", "BSD-2-Clause"), ("Bsd3Ref", "BSD-3-Clause"), ("BsdRef", "BSD"), ("IscGrant", "ISC"), ("IscRef", "ISC"),
-    ("GplFree GplHope GplSee", "GPL-3.0-or-later"), ("GplFree", "GPL-3.0-or-later"), ("Gpl2Free GplHope GplSee", "GPL-2.0-or-later"), ("Gpl2Free", "GPL-2.0-or-later"),
+    ("GplFree GplHope GplSee", "GPL-3.0-or-later"), ("GplFree", "GPL-3.0-or-later"), ("GplModify Later2 GplHope GplSee", "GPL-2.0-or-later"), ("GplModify Later2", "GPL-2.0-or-later"),
     ("Gpl2Ref", "GPL-2.0-only"), ("Gpl3Ref", "GPL-3.0-only"), ("Lgpl21Ref", "LGPL-2.1-only"), ("Lgpl3Ref", "LGPL-3.0-only"), ("AgplRef3", "AGPL-3.0-only"),
     ("MplRef2", "MPL-2.0"), ("EplRef2", "EPL-2.0"), ("UnlicenseRef", "Unlicense"), ("Cc0Ref", "CC0-1.0"), ("CcByNc4", "CC-BY-NC-4.0"), ("CcBySa4", "CC-BY-SA-4.0"), ("CcByNd4", "CC-BY-ND-4.0"), ("CcBy4", "CC-BY-4.0"), ("MitRef", "MIT"),
 ]
 
-BREAK = r"([.!?;:])[ \t]+"
+BREAK = r"([.!?;])[ \t]+"
 OTHER = r"[^a-z0-9]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -80,13 +81,15 @@ def known_sentences() -> dict[str, str]:
         for form in forms:
             first, *_ = [p for p in re.sub(BREAK, r"\1\n", form).split("\n")]
             out.setdefault(normalise(form), name)
+            if form.endswith(":"):  # a list's first mark may stand on the same line
+                out.setdefault(f"{normalise(form)} 1", name)
             out.setdefault(normalise(first), name) if len(first.split()) > 6 else None
     return out
 
 
 def triggers() -> list[str]:
     """Words of which every known sentence has one: a text with none of them has no known sentence."""
-    words = ["licen", "copyright", "redistribut", "permission", "software", "rights", "warrant", "may "]
+    words = ["licen", "copyright", "redistribut", "version", "permission", "software", "rights", "warrant", "may "]
     assert all(any(w in s for w in words) for s in known_sentences())
     return words
 

@@ -19,7 +19,7 @@ def _license_sql() -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     table = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in licenses.known_sentences().items())
     rules = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in reversed(dict(reversed(licenses.RULES)).items()))
-    split = lambda text: f"string_split(regexp_replace({text}, '([.!?;:])[ \\t]+', '\\1' || chr(10), 'g'), chr(10))"
+    split = lambda text: f"string_split(regexp_replace({text}, '([.!?;])[ \\t]+', '\\1' || chr(10), 'g'), chr(10))"
     low = f"translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}')"
     wrapped = f"regexp_replace({low}, '[\\n\\r]+', ' ', 'g')"
     return f"""
