@@ -32,9 +32,13 @@ from suffixspark.session import cut
 
 SHINGLE, PERCENT = 5, 80
 WIDER = 20  # windows are wider by a 20th of the set
-LEAF, PIVOTS, SMALL = 256, 16, 12
+LEAF, PIVOTS, SMALL = 1024, 64, 12
 #: Candidates of up to this many classes (24 bytes each) are sent to the tasks to pick their texts; more are joined.
 SENT_ROWS = 1_000_000
+#: The same for shingles that several classes have (16 bytes each).
+SENT_SHINGLES = 4_000_000
+#: The same for pivot classes of large regions, with their sets.
+SENT_PIVOTS = 2048
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93)]
 
 
@@ -112,11 +116,16 @@ def candidates(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Classes that have enough window shingles in common with others (step 1)."""
     at = windows(docs)
     shared = cut(at.groupBy("s").agg(F.min("class").alias("a"), F.max("class").alias("b")).filter("a <> b").select("s"))
-    hits = at.join(shared, "s").groupBy("class").agg(F.count("*").alias("hits"))
+    hits = at.join(sent(shared), "s").groupBy("class").agg(F.count("*").alias("hits"))
     least = wider_col(need_col(F.col("n")))
     return hits.join(classes, "class").filter(F.col("hits") >= least * F.col("copies")).select("class", "first", "n")
 
 
+def sent(shingles: DataFrame) -> DataFrame:
+    """Up to SENT_SHINGLES shingles are sent to all tasks, so that the windows needn't be shuffled to meet them; more are joined by a shuffle."""
+    return F.broadcast(shingles) if shingles.count() <= SENT_SHINGLES else shingles
+
+
 def need_col(n: Column) -> Column:
     return F.floor((n * PERCENT + 99) / 100)
 
@@ -126,7 +135,7 @@ def wider_col(n: Column) -> Column:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """class, sets (array of long) of the wanted classes, from one document of each."""
+    """class, sets (array of long) of the wanted classes, from the document with the smallest id; from each row, if that is repeated."""
     few = wanted.count() <= SENT_ROWS
     pick = wanted.select(F.col("class").alias("want"), F.col("first"))
     rows = docs.join(F.broadcast(pick) if few else pick, F.col("doc_id").eqNullSafe(F.col("first")))
@@ -136,15 +145,15 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         kept = [i for i, w in enumerate(batch.column("want").to_pylist()) if w == own[i]]  # an id may have several texts
         return pa.RecordBatch.from_arrays([pa.array([own[i] for i in kept], pa.int64()), pa.array([sets[i].view(np.int64) for i in kept], pa.list_(pa.int64()))], ["class", "sets"])
 
-    out = _mapped(rows.select("doc_id", "text", "want"), make, "class long, sets array<long>")
-    return out.groupBy("class").agg(F.first("sets").alias("sets"))
+    return _mapped(rows.select("doc_id", "text", "want"), make, "class long, sets array<long>")
 
 
 def stars(sets: DataFrame) -> DataFrame:
     """a, b: classes and the least class in the same window (step 2)."""
-    each = sets.select("class", F.size("sets").alias("n"), F.explode("sets").alias("s"))
+    each = sets.select("class", F.explode("sets").alias("s"))
     frequency = cut(each.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1"))
-    common = each.join(frequency, "s").groupBy("class", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("of"))  # at most the class's own set
+    common = each.join(sent(frequency), "s").groupBy("class").agg(F.array_sort(F.collect_set(F.struct("df", "s"))).alias("of"))  # at most the class's own set
+    common = common.join(sets.select("class", F.size("sets").alias("n")).distinct(), "class")
     room = F.col("n") - need_col(F.col("n")) + 1 - (F.col("n") - F.size("of"))  # window places that shingles of its own leave
     near = common.filter(room > 0).select("class", F.explode(F.slice("of", F.lit(1), room.cast("int"))).alias("x")).select("class", F.col("x.s").alias("s"))
     near = cut(near)
@@ -234,19 +243,27 @@ def join_large(regions: DataFrame) -> DataFrame:
         seeds = [F.min(F.struct((F.col("comp") == F.col("main")).alias("late"), F.xxhash64(F.lit(round_no * PIVOTS + k), "class").alias("h"), "class"))["class"] for k in range(PIVOTS)]
         picked = open_.groupBy("region").agg(F.array_distinct(F.array(*seeds)).alias("p")).select("region", F.explode("p").alias("pivot"))
         picked = cut(picked)
-        pivots = picked.join(regions.select(F.col("class").alias("pivot"), "sets"), "pivot").groupBy("region").agg(F.collect_list(F.struct("pivot", "sets")).alias("pivots"))
-        pairs = regions.join(cut(pivots), "region")
-
-        def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pivots = cut(picked.join(regions.select(F.col("class").alias("pivot"), "sets"), "pivot"))
+        if pivots.count() <= SENT_PIVOTS:
+            table: dict[int, list[tuple[int, np.ndarray]]] = {}
+            for r in pivots.collect():  # SENT_PIVOTS sets at most
+                table.setdefault(r["region"], []).append((r["pivot"], np.array(r["sets"], np.int64)))
+            shared = spark.sparkContext.broadcast(table)
+            pairs = regions.withColumn("pivots", F.lit(None).cast("array<struct<pivot:bigint,sets:array<bigint>>>"))
+        else:
+            shared = None
+            pairs = regions.join(pivots.groupBy("region").agg(F.collect_list(F.struct("pivot", "sets")).alias("pivots")), "region")
+
+        def compare(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                a, b, known = [], [], {}
+                links, known = set(), {} if shared is None else shared.value
                 for region, own, s, ps in zip(pdf["region"], pdf["class"], pdf["sets"], pdf["pivots"], strict=True):
                     if region not in known:
-                        known[region] = [(p["pivot"], np.asarray(p["sets"], np.int64)) for p in ps]
+                        known[region] = [(p["pivot"], np.asarray(p["sets"], np.int64)) for p in ps] if ps is not None else []
                     x = np.asarray(s, np.int64)
-                    hits = [p for p, t in known[region] if p != own and linked(x, t)]
-                    a += [own] * len(hits)
-                    b += hits
+                    hits = [p for p, t in known[region] if p == own or linked(x, t)]
+                    links |= {(a, hits[0]) for a in (own, *hits[1:]) if a != hits[0]} if hits else set()
+                a, b = zip(*links, strict=True) if links else ((), ())
                 yield pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
         found = cut(pairs.mapInPandas(compare, "a long, b long"))
@@ -268,7 +285,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     label = components(cut(stars(sets))).select(F.col("node").alias("class"), F.col("label").alias("region"))
     size = label.groupBy("region").agg(F.count("*").alias("members"))
     sized = cut(label.join(size, "region"))
-    regions = sets.join(sized, "class")
+    regions = sets.dropDuplicates(["class"]).join(sized, "class")
     edges = join_small(regions.filter(F.col("members") <= LEAF).select("region", "class", "sets"))
     large = sized.filter(F.col("members") > LEAF)
     if large.limit(1).count():
