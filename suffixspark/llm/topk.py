@@ -92,11 +92,7 @@ def best_of_blocks(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.nd
             score[~np.take_along_axis(alive, cols[top], axis=1)] = -np.inf
             least = np.maximum(least, score.min(axis=1) - slack[:, 0])
         alive[:, cols] &= upper >= least[:, None]
-    row, col = np.nonzero(alive)
-    score = np.zeros(len(row), np.int64)
-    for lo in range(0, len(row), 1 << 16):
-        part = slice(lo, lo + (1 << 16))
-        score[part] = np.einsum("id,id->i", q[row[part]].astype(np.int64), c[col[part]].astype(np.int64))
+    row, col, score = _exact(q, c, exact_q, exact_c, alive, k)
     order = np.lexsort((c_ids[col], -score, row))
     row, col, score = row[order], col[order], score[order]
     starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
@@ -105,6 +101,25 @@ def best_of_blocks(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.nd
     return q_ids[row[keep]], c_ids[col[keep]], score[keep]
 
 
+def _exact(q: np.ndarray, c: np.ndarray, exact_q: np.ndarray, exact_c: np.ndarray, alive: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """row, column and score of the surviving pairs, at least those that reach the k-th best score of their row."""
+    cols = np.flatnonzero(alive.any(axis=0))
+    largest = np.abs(exact_q).max(initial=0) * np.abs(exact_c).max(initial=0) * q.shape[1]
+    if alive.sum() > alive.size // 64 and largest < 2**52:  # many: one product of matrices, exact in doubles
+        scores = np.where(alive[:, cols], exact_q @ exact_c[cols].T, -np.inf)
+        if len(cols) > k:
+            row, at = np.nonzero(scores >= np.maximum(-np.partition(-scores, k - 1, axis=1)[:, k - 1 : k], -(2.0**52)))
+        else:
+            row, at = np.nonzero(scores > -np.inf)
+        return row, cols[at], scores[row, at].astype(np.int64)
+    row, col = np.nonzero(alive)
+    score = np.zeros(len(row), np.int64)
+    for lo in range(0, len(row), 1 << 16):
+        part = slice(lo, lo + (1 << 16))
+        score[part] = np.einsum("id,id->i", q[row[part]], c[col[part]])
+    return row, col, score
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int, key: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
     """query_id, rank (from 1), vec_id, score for every row of vectors that is_query holds of."""
     picked = vectors.select(F.col(key).alias("key"), F.col(vector).alias("vector"), is_query.alias("asks"))
