@@ -1,8 +1,10 @@
 """License scans by sentences: known sentences become identifiers, and rules name the licenses of sequences of identifiers.
 
-A text is cut into sentences at line ends and after . ! ? or ; before white space, and a second time with line ends as spaces (wrapped
-notices). A sentence is normalised: A-Z lower-cased, every run of other characters than letters a-z and digits made one space, and
-the words of a comment or a list mark at its start dropped with them. Known sentences are looked up; the reading with more known ones is taken (ties: the first). The rules
+A text is normalised: A-Z lower-cased, every run of other characters than letters a-z and digits made one mark. The mark is a hard break
+if the run has . ! ? or ; before white space; else a soft break if it has a line end, a colon before white space, or closes a list mark such as
+"b)" at a line's start; else a space. So the marks of comments and lists drop out. A known sentence is found wherever it stands between two breaks
+(or the text's ends), soft ones inside it read as spaces: wrapped lines and paragraphs without a full stop are read in one pass, in the order of
+the text. At a place the longest known sentence is taken, and what it covers is not read again. The rules
 are tried in order at each place of the sequence of identifiers, from left to right, and what one has matched is not matched again.
 A null or empty text has no sentence. Nothing is shuffled: a row is scanned by itself."""
 
@@ -94,24 +96,39 @@ def triggers() -> list[str]:
     return words
 
 
-def _identifiers(text: Column, known: Column) -> Column:
-    sentences = F.split(F.regexp_replace(text, BREAK, "$1\n"), "\n", -1)
-    names = F.transform(sentences, lambda s: known[F.trim(F.regexp_replace(s, OTHER, " "))])
-    return F.filter(names, lambda n: n.isNotNull())
+#: A list mark such as "(1)" or "b)" at a line's start, which ends in no break of its own.
+LIST_MARK = r"(?m)^([^a-z0-9\n\r\x85\u2028\u2029]*(?:[0-9]{1,2}|[a-z]|[ivx]{2,4})\))[ \t]"
+
+
+def _marked(low: Column) -> Column:
+    """Words with a space, \\r (soft break) or \\n (hard break) between them. Each pattern takes time in proportion to the text."""
+    out = F.regexp_replace(F.translate(low, "\x01\x02", "  "), LIST_MARK, "$1\x01")
+    out = F.regexp_replace(F.regexp_replace(out, "[.!?;][ \\t\\r\\n]", "\x02"), ":[ \\t]", "\x01")
+    out = F.regexp_replace(out, "[^a-z0-9\\x01\\x02\\r\\n]+", " ")
+    out = F.regexp_replace(out, " ?[\\x01\\r\\n][ \\x01\\r\\n]*", "\r")
+    return F.trim(F.regexp_replace(out, "[ \r]?\\x02[ \r\\x02]*", "\n"))
+
+
+def sentence_pattern() -> str:
+    """The known sentences between breaks as alternatives, the longer first."""
+    longest = sorted(known_sentences(), key=lambda s: (-len(s), s))
+    return r"(?<![^\r\n])(?:" + "|".join(s.replace(" ", r"[ \r]") for s in longest) + r")(?![^\r\n])"
+
+
+def _identifiers(low: Column) -> Column:
+    known = F.create_map(*[F.lit(x) for pair in known_sentences().items() for x in pair])
+    found = F.regexp_extract_all(_marked(low), F.lit(sentence_pattern()), F.lit(0))
+    return F.transform(found, lambda s: known[F.translate(s, "\r", " ")])
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """row (a struct with the columns of docs), sentences (identifiers in order), licenses (of the matched rules, in order)."""
-    known = F.create_map(*[F.lit(x) for pair in known_sentences().items() for x in pair])
     low = F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), UPPER, LOWER)
     has = F.lit(False)
     for w in triggers():
         has = has | F.contains("low", F.lit(w))
     rows = docs.select(F.struct("*").alias("row"), low.alias("low")).select("row", F.when(has, F.col("low")).alias("low"))
-    by_line = F.when(F.col("low").isNotNull(), _identifiers(F.col("low"), known))
-    wrapped = F.when(F.col("low").isNotNull(), _identifiers(F.regexp_replace("low", "[\n\r]+", " "), known))
-    rows = rows.select("row", by_line.alias("a"), wrapped.alias("b"))
-    best = F.coalesce(F.when(F.size("b") > F.size("a"), F.col("b")).otherwise(F.col("a")), F.array().cast("array<string>"))
+    best = F.coalesce(F.when(F.col("low").isNotNull(), _identifiers(F.col("low"))), F.array().cast("array<string>"))
     names = F.create_map(*[F.lit(x) for pair in RULES for x in pair])
     matched = F.regexp_extract_all(F.array_join("sentences", " "), F.lit(rule_pattern()), F.lit(0))
     return rows.select("row", best.alias("sentences")).withColumn("licenses", F.transform(matched, lambda m: names[m]))

@@ -101,3 +101,88 @@ def test_every_license_rule_is_reachable(spark):
     one = [(i, "\n".join(licenses.SENTENCES[n][0] for n in seq.split())) for i, (seq, _) in enumerate(licenses.RULES)]
     out = {r["row"]["doc_id"]: r["licenses"] for r in licenses.scan(table(spark, one)).collect()}
     assert [out[i] for i in range(len(one))] == [[name] for _, name in licenses.RULES]
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 A. Writer
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+ISC = """ISC License
+
+Copyright (c) 2020, A. Writer
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE
+"""
+BSD = """Copyright (c) 2020, A. Writer
+All rights reserved
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+{0} Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+{1} Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+{2} Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER BE LIABLE
+"""
+GPL3 = """    A program
+    Copyright (C) 2020  A. Writer
+
+    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+
+
+def test_wrapped_notices(spark):
+    mit, bsd = ["MitRef", "MitGrant", "MitNotice", "AsIsMit", "LiableMit"], ["AllRights", "BsdGrant", "BsdSource", "BsdBinary", "BsdEndorse", "BsdAsIs"]
+    commented = "/*\n" + "".join(f" * {x}\n" for x in MIT.split("\n")) + " */\n"
+    marks = ["1. 2. 3.", "* * *", "- - -", "1) 2) 3)", "(a) (b) (c)", "• • •"]
+    rows = [(0, MIT), (1, MIT.replace("\n", "\r\n")), (2, commented), (3, MIT.replace("\n\n", "\n")), (4, ISC), (5, GPL3), *((10 + i, BSD.format(*m.split())) for i, m in enumerate(marks))]
+    rows += [(20, "Licensed under the MIT License\n\n" + GPL3 + "\nSPDX-License-Identifier: MIT"), (21, "The words of the MIT\nLicense are not at a line's ends here.")]
+    out = {r["row"]["doc_id"]: (r["sentences"], r["licenses"]) for r in licenses.scan(table(spark, rows)).collect()}
+    assert [out[i] for i in range(4)] == [(mit, ["MIT", "MIT"])] * 4
+    assert out[4] == (["IscRef", "IscGrant"], ["ISC", "ISC"])
+    assert out[5] == (["GplFree", "GplHope", "GplSee"], ["GPL-3.0-or-later"])
+    assert [out[10 + i] for i in range(len(marks))] == [(bsd, ["BSD-3-Clause"])] * len(marks)
+    assert out[20] == (["MitRef", "GplFree", "GplHope", "GplSee", "MitRef"], ["MIT", "GPL-3.0-or-later", "MIT"])
+    assert out[21] == ([], [])
