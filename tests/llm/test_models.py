@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from suffixspark.llm import language, maxent, pieces, tokens
@@ -120,6 +121,27 @@ def test_class_probabilities_sum_to_one(spark):
         assert (10 ** model.inside[:-2][model.class_of[:-2] == c]).sum() == pytest.approx(1)
 
 
+def test_neighbours_are_counted_whole(spark):
+    """Also of words that come after many others, and that no task sees often."""
+    r = random.Random(3)
+    junk = [(i, " ".join(f"j{i}x{k}" for k in range(1000)), "") for i in range(20)]
+    rows = junk + [(100 + i, " ".join(r.choices(["red", "green", "blue", "white"], k=9)), "") for i in range(60)]
+    want = collections.Counter()
+    for _, t, _ in rows:
+        ws = t.split()
+        for a, b in [*zip(ws, ws[1:]), *zip(ws[1:], ws)]:
+            want[a, xxhash.xxh32_intdigest(b) % maxent.NEIGHBOURS] += 1
+    classes = []
+    for n in (1, 8):
+        docs = table(spark, rows).repartitionByRange(n, "doc_id") if n > 1 else table(spark, rows).coalesce(1).sortWithinPartitions("doc_id")
+        counts = maxent.count_words(docs)
+        model = maxent.vocabulary(docs, counts, docs.count())
+        got = maxent.count_neighbours(docs, model.number)
+        assert all(got[i, h] == want[w.decode(), h] for w, i in model.number.items() for h in range(maxent.NEIGHBOURS))
+        classes.append({w: model.class_of[i] for w, i in model.number.items()})
+    assert classes[0] == classes[1] and len(classes[0]) == 4 and all(c < maxent.CLUSTERS for c in classes[0].values())
+
+
 def test_nothing_to_learn_from(spark):
     model, counts = maxent.train(table(spark, []))
     out = maxent.score(table(spark, [(1, None, "x"), (2, "word", "x")]), model, counts).orderBy("doc_id").collect()
