@@ -6,14 +6,12 @@ a benchmark item. Mixing takes documents so that sources meet their weights, and
 
 Extra columns are kept by all stages. Rows that repeat an id and its text are one document from the Jaccard join on."""
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from suffixspark import session
 from suffixspark.llm import decontaminate, jaccard, language, lines, mixing
 from suffixspark.llm.rows import free_name
-from suffixspark.session import checkpoint_dir
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,14 +44,18 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("source_mix", source_mix)]
 
-#: Language ID, groups and the knapsack have no SQL form; tests hold the stages against brute force.
+#: Language ID, groups and the knapsack have no SQL form; tests hold the rows that each stage keeps against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage. The tables of the stages before it, and what they cut, are deleted as soon as the next one is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        folder = session.new_folder(spark, f"pipeline-{name}")
+        with session.run(spark):
+            stage(spark, docs, sf_dir).write.parquet(folder)
+        if before:
+            session.delete(spark, before)
+        docs, before = spark.read.parquet(folder), folder
     return docs

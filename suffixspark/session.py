@@ -1,21 +1,52 @@
-"""Session helpers: where lineage is cut, and how."""
+"""Session helpers: the shared folder, where lineage is cut, and what is deleted when a run ends."""
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_runs: list[list[str]] = []
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; on a session without one (tests) a new local folder."""
+    """The shared folder that the cluster names in spark.checkpoint.dir. A local session without one (tests) gets a new local folder; elsewhere executors wouldn't see that, so it is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spark-")
-    if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
-    return named
+    return named.rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, deleted with the run that it is made in."""
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _runs:
+        _runs[-1].append(path)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it from there: a later loss of executors recomputes nothing above it."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write df as a table in the shared folder and read it from there: a later loss of executors recomputes nothing above it, and no plan or constraint grows over the rounds of a loop."""
+    path = new_folder(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def run(spark: SparkSession) -> Iterator[None]:
+    """Delete the folders that are made within, at the end. What is left to read must be written to a folder made outside."""
+    _runs.append([])
+    try:
+        yield
+    finally:
+        for path in _runs.pop():
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    of = spark._jvm.org.apache.hadoop.fs.Path(path)
+    of.getFileSystem(spark._jsc.hadoopConfiguration()).delete(of, True)
