@@ -2,21 +2,22 @@
 
 The join is exact up to collisions of 64-bit hashes. Documents with equal sets are one class, and only classes are compared.
 
-1. Pivots. Nearly all distances between texts are 1, so sampled documents make poor pivots: everything is in the window of each. A shingle s serves as the pivot instead, as
-   the set of all shingles from s on in a fixed order. |A without that set| counts the shingles of A before s; by the triangle inequality it differs
-   for linked A and B by no more than |A without B| + |B without A|, so both lie in the window of their first common shingles: those are among the first
-   n - need(n) + 1 of either, where need(n) is the least common size that a set of n links with. With windows wider by w(n) shingles, w common
-   ones must be in both. A class whose window has too few shingles that any other class has is done.
+1. Prefix filter, before any metric step: nearly all distances between texts are 1, so that everything is in the window of a sampled document. A set of n that links
+   has need(n) shingles in common with its partner; so by any fixed order of the shingles both hold their first common ones among their first n - need(n) + 1, and w of
+   them among w - 1 more. A class whose window has too few shingles that any other class has is done.
 2. The classes that are left go through the same step again, in an order in which shingles that few of them have come first: frequent passages come last and hardly make anything a
-   neighbour. Each pivot makes a star of the classes in its window; connected stars are the Voronoi regions. Linked classes share a region.
-3. A region of up to LEAF classes is joined in one task: pivot classes divide it into cells, a class is also put in each cell within the window
-   d(x, p) <= d(x, nearest) + 2 * 0.2, and cells are joined in turn. Pairs that are connected already aren't compared.
-4. In larger regions up to PIVOTS classes at a time are compared with all of the region, over many tasks. A region is done when the classes that haven't been pivots are all
-   connected; a group of near copies is done after a round or two, since all within 0.2 of a pivot are linked through it.
+   neighbour. A shingle makes a star of the classes that have it there; connected stars are the first regions. Linked classes share a region.
+3. A region of up to LEAF classes and LEAF_WEIGHT shingles is joined in one task: pivot classes make Voronoi cells, a class is also put in each cell within the window
+   d(x, p) <= d(x, nearest) + 2 * 0.2 (triangle inequality), and the cells are joined in turn as long as that leaves less than half of the pairs. What the windows don't
+   part is compared by one product of the region's incidence table: time and memory are at most in proportion to the pairs of a bounded region.
+4. Larger regions: up to PIVOTS classes of each are compared with all of it, over many tasks. A region whose other classes are all connected by that is done: a group
+   of near copies is, since all within 0.2 of a pivot are linked through it. The others are parted by their next common shingle (the k-th, in windows that are wider
+   by k - 1), those of equal members once; parts with all members connected are dropped, small ones go to step 3, large ones through step 4 again.
 
 Texts: A-Z lower-cased, words are runs of bytes other than ASCII white space; sets are of distinct runs of 5 words, or the whole sequence if it is
 shorter. A null text or one without words has the empty set, which is linked with nothing: its component is its own id. Repeated rows are copies. Null ids
-are in the component of their set's smallest id, null if there is none."""
+are in the component of their set's smallest id, null if there is none. Long texts are read whole. Only the two columns named are read, so that
+others may have any name; an empty table gives no rows."""
 
 import functools
 import re
@@ -26,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from suffixspark.llm.components import components
@@ -34,13 +35,18 @@ from suffixspark.session import cut
 
 SHINGLE, PERCENT = 5, 80
 WIDER = 20  # windows are wider by a 20th of the set
-LEAF, PIVOTS, SMALL = 1024, 64, 12
+#: Regions of up to LEAF classes and LEAF_WEIGHT shingles in all (8 bytes each) are joined in one task. PIVOTS: of a region in a round; CELLS: pivots within a task.
+LEAF, LEAF_WEIGHT, PIVOTS, CELLS = 1024, 1 << 22, 64, 8
+#: The pivots' shingles that are sent to the tasks at a time (8 bytes each), and those of one region, the first of its pivots excepted.
+PIVOT_WEIGHT, REGION_WEIGHT = 1 << 22, 1 << 20
+#: Row and column counts that a product of incidence tables takes at a time.
+GATHER, DENSE = 1 << 22, 1 << 12
 #: Candidates of up to this many classes (24 bytes each) are sent to the tasks to pick their texts; more are joined.
 SENT_ROWS = 1_000_000
 #: The same for shingles that several classes have (16 bytes each).
 SENT_SHINGLES = 4_000_000
-#: The same for pivot classes of large regions, with their sets.
-SENT_PIVOTS = 2048
+#: Past these, keys with more rows than this (or than a SENT_SHINGLESth of all) are sent apart, the rest meet by a shuffle: no key fills a task.
+HOT = 1 << 16
 #: Texts are hashed in blocks of about so many bytes, cut at white space.
 BLOCK = 1 << 16
 WHITE = re.compile(rb"[ \t-\r]")
@@ -144,15 +150,21 @@ def windows(docs: DataFrame) -> DataFrame:
 def candidates(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Classes that have enough window shingles in common with others (step 1)."""
     at = windows(docs)
-    shared = cut(at.groupBy("s").agg(F.min("class").alias("a"), F.max("class").alias("b")).filter("a <> b").select("s"))
-    hits = at.join(sent(shared), "s").groupBy("class").agg(F.count("*").alias("hits"))
+    shared = cut(at.groupBy("s").agg(F.min("class").alias("a"), F.max("class").alias("b"), F.count("*").alias("rows")).filter("a <> b").select("s", "rows"))
+    hits = meet(at, shared, "s").groupBy("class").agg(F.count("*").alias("hits"))
     least = wider_col(need_col(F.col("n")))
     return hits.join(classes, "class").filter(F.col("hits") >= least * F.col("copies")).select("class", "first", "n")
 
 
-def sent(shingles: DataFrame) -> DataFrame:
-    """Up to SENT_SHINGLES shingles are sent to all tasks, so that the windows needn't be shuffled to meet them; more are joined by a shuffle."""
-    return F.broadcast(shingles) if shingles.count() <= SENT_SHINGLES else shingles
+def meet(rows: DataFrame, table: DataFrame, key: str, sent: int | None = None, how: str = "inner") -> DataFrame:
+    """The join (inner or left) of rows with a table that has a key once, and in `rows` how many rows have it. A small table is sent to all tasks; of a larger one only the hot
+    keys are, and there are at most as many as rows / HOT of them, or `sent`."""
+    sent, size = SENT_SHINGLES if sent is None else sent, table.agg(F.count("*").alias("n"), F.sum("rows").alias("rows")).first()
+    if size["n"] <= sent:
+        return rows.join(F.broadcast(table.drop("rows")), key, how)
+    hot = F.col("rows") > max(HOT, size["rows"] // max(1, sent))
+    most, rest = table.filter(hot).drop("rows"), table.filter(~hot).drop("rows")
+    return rows.join(F.broadcast(most), key).unionByName(rows.join(F.broadcast(most.select(key)), key, "left_anti").join(rest, key, how))
 
 
 def need_col(n: Column) -> Column:
@@ -177,131 +189,206 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return _mapped(rows.select("doc_id", "text", "want"), make, "class long, sets array<long>")
 
 
-def stars(sets: DataFrame) -> DataFrame:
-    """a, b: classes and the least class in the same window (step 2)."""
+def common_shingles(sets: DataFrame) -> DataFrame:
+    """class, n (shingles), of: those that other classes have too, as (df, s) from the rarest on; at most the class's own set."""
     each = sets.select("class", F.explode("sets").alias("s"))
-    frequency = cut(each.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1"))
-    common = each.join(sent(frequency), "s").groupBy("class").agg(F.array_sort(F.collect_set(F.struct("df", "s"))).alias("of"))  # at most the class's own set
-    common = common.join(sets.select("class", F.size("sets").alias("n")).distinct(), "class")
-    room = F.col("n") - need_col(F.col("n")) + 1 - (F.col("n") - F.size("of"))  # window places that shingles of its own leave
-    near = common.filter(room > 0).select("class", F.explode(F.slice("of", F.lit(1), room.cast("int"))).alias("x")).select("class", F.col("x.s").alias("s"))
+    frequency = cut(each.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1").withColumn("rows", F.col("df")))
+    common = meet(each, frequency, "s").groupBy("class").agg(F.array_sort(F.collect_set(F.struct("df", "s"))).alias("of"))
+    return common.join(sets.select("class", F.size("sets").cast("long").alias("n")).distinct(), "class")
+
+
+def room(k: int) -> Column:
+    """How many of the shingles `of` are in a window that holds the first k common ones: shingles of the class's own come before them."""
+    return (F.size("of") - need_col(F.col("n")) + k).cast("int")
+
+
+def stars(common: DataFrame) -> DataFrame:
+    """a, b: classes and the least class in the same window (step 2)."""
+    near = common.filter(room(1) > 0).select("class", F.explode(F.slice("of", F.lit(1), room(1))).alias("x")).select("class", F.col("x.s").alias("s"))
     near = cut(near)
-    lead = near.groupBy("s").agg(F.min("class").alias("lead"))
-    return near.join(lead, "s").filter("class <> lead").select(F.col("class").alias("a"), F.col("lead").alias("b")).distinct()
-
-
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    if min(len(a), len(b)) < need(max(len(a), len(b))):
-        return False
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * common >= PERCENT * (len(a) + len(b) - common)
-
-
-def distance(a: np.ndarray, b: np.ndarray) -> float:
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return 1 - common / (len(a) + len(b) - common)
-
-
-class Groups:
-    """Which members of a region are connected."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def of(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        self.up[self.of(i)] = self.of(j)
-
-
-def join_cell(members: list[int], sets: list[np.ndarray], groups: Groups) -> None:
-    """Connect the linked members of a cell (step 3)."""
-    if len({groups.of(i) for i in members}) == 1:
-        return
-    pivots = members[:: max(1, len(members) // 4)][:4] if len(members) > SMALL else []
-    if pivots:
-        near = [[distance(sets[i], sets[p]) for p in pivots] for i in members]
-        for i, ds in zip(members, near, strict=True):
-            for p, d in zip(pivots, ds, strict=True):
-                if i != p and groups.of(i) != groups.of(p) and d < 0.21 and linked(sets[i], sets[p]):
-                    groups.join(i, p)
-        window = 2 * (100 - PERCENT) / 100 + 1e-9
-        cells = [[i for i, ds in zip(members, near, strict=True) if ds[k] <= min(ds) + window] for k in range(len(pivots))]
-        if all(len(c) < len(members) for c in cells):
-            for c in cells:
-                join_cell(c, sets, groups)
+    lead = cut(near.groupBy("s").agg(F.min("class").alias("lead"), F.count("*").alias("rows")))
+    return meet(near, lead.filter("rows > 1"), "s").filter("class <> lead").select(F.col("class").alias("a"), F.col("lead").alias("b")).distinct()
+
+
+def linked(common: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sets of a and b shingles, so many of them common, are linked."""
+    return 100 * common >= PERCENT * (a + b - common)
+
+
+class Region:
+    """The shingle sets of a task's classes as an incidence table, and which classes are connected (label)."""
+
+    def __init__(self, sets: list[np.ndarray], label: np.ndarray | None = None):
+        m = len(sets)
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        self.label = np.arange(m) if label is None else np.unique(label, return_inverse=True)[1]
+        _, token, df = np.unique(np.concatenate(sets) if m else np.zeros(0, np.int64), return_inverse=True, return_counts=True)
+        row, shared = np.repeat(np.arange(m), self.sizes), df[token] > 1
+        row, token = row[shared], np.cumsum(df > 1)[token[shared]] - 1
+        self.rows = token, np.searchsorted(row, np.arange(m + 1))  # tokens of a row
+        self.df = df[df > 1]
+        order = np.argsort(token, kind="stable")
+        self.posts, self.starts = row[order], np.r_[0, np.cumsum(self.df)]  # rows of a token
+        self.heavy = self.df > max(8, m // 16)
+
+    def common(self, rows: np.ndarray) -> np.ndarray:
+        """(row, class): how many shingles they have in common. Tokens that many have are multiplied densely, the others by their lists."""
+        m, (token, at) = len(self.sizes), self.rows
+        out = np.zeros((len(rows), m))
+        n = at[rows + 1] - at[rows]
+        flat = token[np.repeat(at[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        of = np.repeat(np.arange(len(rows)), n)
+        light = ~self.heavy[flat]
+        flat, of = flat[light], of[light]
+        weight = np.cumsum(self.df[flat])
+        lo = 0
+        while lo < len(flat):
+            hi = max(lo + 1, int(np.searchsorted(weight, (weight[lo - 1] if lo else 0) + GATHER)))
+            d = self.df[flat[lo:hi]]
+            where = np.repeat(self.starts[flat[lo:hi]] - np.cumsum(d) + d, d) + np.arange(d.sum())
+            first, last = int(of[lo]), int(of[hi - 1]) + 1
+            out[first:last] += np.bincount((np.repeat(of[lo:hi], d) - first) * m + self.posts[where], minlength=(last - first) * m).reshape(-1, m)
+            lo = hi
+        heavy = np.flatnonzero(self.heavy)
+        for lo in range(0, len(heavy), DENSE):
+            table = np.zeros((m, len(heavy[lo : lo + DENSE])), np.float32)
+            d = self.df[heavy[lo : lo + DENSE]]
+            where = np.repeat(self.starts[heavy[lo : lo + DENSE]] - np.cumsum(d) + d, d) + np.arange(d.sum())
+            table[self.posts[where], np.repeat(np.arange(len(d)), d)] = 1
+            out += table[rows] @ table.T
+        out[np.arange(len(rows)), rows] = self.sizes[rows]
+        return out.astype(np.int64)
+
+    def connect(self, rows: np.ndarray, common: np.ndarray, members: np.ndarray) -> None:
+        """Give all that is linked with a row the same label; common is (row, member)."""
+        links = linked(common, self.sizes[rows][:, None], self.sizes[members])
+        for i, row in zip(rows.tolist(), links, strict=True):
+            met = np.unique(np.r_[self.label[i], self.label[members[row]]])
+            if len(met) > 1:
+                self.label[np.isin(self.label, met)] = met[0]
+
+    def join(self, members: np.ndarray) -> None:
+        """Connect the linked members (step 3)."""
+        labels, n = np.unique(self.label[members], return_counts=True)
+        if len(labels) == 1:
             return
-    for x, i in enumerate(members):
-        for j in members[x + 1 :]:
-            if groups.of(i) != groups.of(j) and linked(sets[i], sets[j]):
-                groups.join(i, j)
+        if len(members) > 2 * CELLS:
+            pivots = members[:: -(-len(members) // CELLS)]
+            common = self.common(pivots)[:, members]
+            self.connect(pivots, common, members)
+            far = 1 - common / (self.sizes[pivots][:, None] + self.sizes[members] - common)
+            within = far <= far.min(axis=0) + 2 * (100 - PERCENT) / 100 + 1e-9
+            if 2 * (within.sum(axis=1) ** 2).sum() < len(members) ** 2:
+                for cell in within:
+                    self.join(members[cell])
+                return
+        labels, n = np.unique(self.label[members], return_counts=True)
+        rest = members[self.label[members] != labels[n.argmax()]]  # what the largest group has in itself is connected
+        for lo in range(0, len(rest), 256):
+            self.connect(rest[lo : lo + 256], self.common(rest[lo : lo + 256])[:, members], members)
 
 
 def join_small(regions: DataFrame) -> DataFrame:
-    """a, b: edges that connect what is linked in each region of (region, class, sets)."""
+    """a, b: edges that connect what is linked in each region of (region, class, sets, comp), where those of one comp are connected already."""
 
     def leaf(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("class")
-        ids, sets = pdf["class"].to_numpy(), [np.sort(np.asarray(s, np.int64)) for s in pdf["sets"]]
-        groups = Groups(len(ids))
-        join_cell(list(range(len(ids))), sets, groups)
-        top = np.array([groups.of(i) for i in range(len(ids))])
-        return pd.DataFrame({"a": ids, "b": ids[top]})
+        ids = pdf["class"].to_numpy()
+        region = Region([np.asarray(s, np.int64) for s in pdf["sets"]], pdf["comp"].to_numpy())
+        before = region.label.copy()
+        region.join(np.arange(len(ids)))
+        new = np.isin(region.label, region.label[region.label != before])  # groups that have grown
+        _, first, own = np.unique(region.label, return_index=True, return_inverse=True)
+        return pd.DataFrame({"a": ids[new], "b": ids[first[own]][new]})
 
     return regions.groupBy("region").applyInPandas(leaf, "a long, b long").filter("a <> b")
 
 
-def join_large(regions: DataFrame) -> DataFrame:
-    """The same for regions of any size, over many tasks (step 4)."""
-    spark = regions.sparkSession
-    state = cut(regions.select("region", "class", F.col("class").alias("comp"), F.lit(False).alias("asked")))
-    edges = spark.createDataFrame([], "a long, b long")
-    round_no = 0
-    while True:
-        rest = state.filter("not asked").groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("region")
-        rest = cut(rest)
-        if not rest.limit(1).count():
-            return edges
-        sizes = state.filter("not asked").join(rest, "region").groupBy("region", "comp").agg(F.count("*").alias("n"))
-        main = sizes.groupBy("region").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
-        open_ = state.filter("not asked").join(main, "region")
-        seeds = [F.min(F.struct((F.col("comp") == F.col("main")).alias("late"), F.xxhash64(F.lit(round_no * PIVOTS + k), "class").alias("h"), "class"))["class"] for k in range(PIVOTS)]
-        picked = open_.groupBy("region").agg(F.array_distinct(F.array(*seeds)).alias("p")).select("region", F.explode("p").alias("pivot"))
-        picked = cut(picked)
-        pivots = cut(picked.join(regions.select(F.col("class").alias("pivot"), "sets"), "pivot"))
-        if pivots.count() <= SENT_PIVOTS:
-            table: dict[int, list[tuple[int, np.ndarray]]] = {}
-            for r in pivots.collect():  # SENT_PIVOTS sets at most
-                table.setdefault(r["region"], []).append((r["pivot"], np.array(r["sets"], np.int64)))
-            shared = spark.sparkContext.broadcast(table)
-            pairs = regions.withColumn("pivots", F.lit(None).cast("array<struct<pivot:bigint,sets:array<bigint>>>"))
-        else:
-            shared = None
-            pairs = regions.join(pivots.groupBy("region").agg(F.collect_list(F.struct("pivot", "sets")).alias("pivots")), "region")
+def _pivots(member: DataFrame, round_no: int) -> DataFrame:
+    """region, class: up to PIVOTS classes of each region, those outside its largest group first, and no more shingles than REGION_WEIGHT after the first."""
+    sizes = member.groupBy("region", "comp").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("region").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"))
+    best = F.struct((F.col("comp") == F.col("main")).alias("late"), F.xxhash64(F.lit(round_no), "class", "region").alias("h"), "class", "n")
+    # the least of PIVOTS slices of a region by hash, so that no region is gathered whole
+    sliced = member.join(F.broadcast(main) if main.count() <= SENT_ROWS else main, "region").groupBy("region", F.pmod(F.xxhash64("class"), F.lit(PIVOTS)).alias("slice")).agg(F.min(best).alias("best"))
+    w = Window.partitionBy("region").orderBy("best").rowsBetween(Window.unboundedPreceding, 0)  # PIVOTS rows
+    picked = sliced.withColumn("sum", F.sum("best.n").over(w)).filter((F.col("sum") <= REGION_WEIGHT) | (F.col("sum") == F.col("best.n")))
+    return picked.select("region", F.col("best.class").alias("class"), F.col("best.n").alias("n"))
+
+
+def _compared(regions: DataFrame, pivots: DataFrame) -> DataFrame:
+    """a, b: links between the classes of regions (region, class, sets) and pivots (region, class, sets, n), which go to the tasks in passes of about PIVOT_WEIGHT shingles."""
+    passes = max(1, -(-(pivots.agg(F.sum("n")).first()[0] or 0) // PIVOT_WEIGHT))
+    found = None
+    for p in range(passes):
+        part = F.pmod(F.xxhash64("region"), F.lit(passes)) == p
+        table: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for batch in pivots.filter(part).select("region", "class", "sets").toArrow().to_batches():
+            for region, own, s in zip(batch.column("region").to_pylist(), batch.column("class").to_pylist(), batch.column("sets"), strict=True):
+                table.setdefault(region, []).append((own, s.values.to_numpy()))
+        shared = regions.sparkSession.sparkContext.broadcast(table)
 
         def compare(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                links, known = set(), {} if shared is None else shared.value
-                for region, own, s, ps in zip(pdf["region"], pdf["class"], pdf["sets"], pdf["pivots"], strict=True):
-                    if region not in known:
-                        known[region] = [(p["pivot"], np.asarray(p["sets"], np.int64)) for p in ps] if ps is not None else []
-                    x = np.asarray(s, np.int64)
-                    hits = [p for p, t in known[region] if p == own or linked(x, t)]
-                    links |= {(a, hits[0]) for a in (own, *hits[1:]) if a != hits[0]} if hits else set()
-                a, b = zip(*links, strict=True) if links else ((), ())
-                yield pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
-
-        found = cut(pairs.mapInPandas(compare, "a long, b long"))
-        edges = cut(edges.union(found))
-        labels = components(edges).select(F.col("node").alias("class"), "label")
-        asked = picked.select(F.col("pivot").alias("class"), F.lit(True).alias("now"))
-        state = state.select("region", "class", "asked").join(labels, "class", "left").join(asked, "class", "left")
-        state = cut(state.select("region", "class", F.coalesce("label", "class").alias("comp"), (F.col("asked") | F.coalesce("now", F.lit(False))).alias("asked")))
-        round_no += 1
+                a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for region, own in pdf.groupby("region"):
+                    ids, sets = zip(*shared.value[region], strict=True)
+                    size, rows = np.array([len(s) for s in sets]), [np.asarray(s, np.int64) for s in own["sets"]]
+                    token, at = np.unique(np.concatenate(sets), return_inverse=True)
+                    has = np.zeros((len(token) + 1, len(ids)), np.float32)
+                    has[at, np.repeat(np.arange(len(ids)), size)] = 1
+                    for name, s in zip(own["class"].to_numpy(), rows, strict=True):
+                        place = np.minimum(np.searchsorted(token, s), len(token) - 1)
+                        common = has[place[token[place] == s]].sum(axis=0, dtype=np.float64)
+                        hits = np.array(ids)[linked(common, len(s), size)]
+                        a.append(hits)
+                        b.append(np.full(len(hits), name))
+                yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+        links = regions.filter(part).select("region", "class", "sets").mapInPandas(compare, "a long, b long").filter("a <> b")
+        found = links if found is None else found.union(links)
+    return found
+
+
+def _sized(member: DataFrame) -> DataFrame:
+    """The regions that aren't one group, and whether they are small: region, rows, small."""
+    size = member.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows"), F.sum("n").alias("weight"))
+    return size.filter("lo <> hi").select("region", "rows", ((F.col("rows") <= LEAF) & (F.col("weight") <= LEAF_WEIGHT)).alias("small"))
+
+
+def _labelled(member: DataFrame, edges: DataFrame) -> DataFrame:
+    labels = components(edges).select(F.col("node").alias("class"), "label")
+    return member.join(labels, "class", "left").withColumn("comp", F.coalesce("label", "class")).drop("label")
+
+
+def join_regions(label: DataFrame, common: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: edges that connect what is linked in the regions of label (class, region), whatever their sizes (steps 3 and 4)."""
+    edges = label.sparkSession.createDataFrame([], "a long, b long")
+    member = cut(label.join(common.select("class", "n"), "class").select("region", "class", "n", F.lit(0).alias("from"), F.col("class").alias("comp")))
+    k = 1
+    while True:
+        sized = cut(_sized(member))
+        open_ = meet(member, sized, "region", SENT_ROWS)
+        small = open_.filter("small").join(sets, "class").select("region", "class", "sets", "comp")
+        edges = cut(edges.union(join_small(small)).distinct())
+        if not sized.filter("not small").limit(1).count():
+            return edges
+        large = cut(open_.filter("not small").drop("small"))
+        for round_no in range(2):
+            pivots = cut(_pivots(large, 2 * k + round_no).join(sets, "class"))
+            edges = cut(edges.union(_compared(large.join(sets, "class"), pivots)).distinct())
+            asked = pivots.select("region", "class", F.lit(True).alias("asked"))
+            large = cut(_labelled(large.join(asked, ["region", "class"], "left_anti"), edges))
+            large = cut(meet(large, _sized(large).drop("small"), "region", SENT_ROWS))
+            if large.isEmpty():
+                return edges
+        # part what is left by the next common shingle
+        of = large.join(common.select("class", "of"), "class").withColumn("i", F.explode(F.when(F.col("from") < room(k), F.sequence("from", room(k) - 1))))
+        split = cut(of.select(F.xxhash64("region", F.get("of", "i").getField("s")).alias("part"), F.get("of", "i").alias("x"), "region", "class", "n", (F.col("i") + 1).alias("from"), "comp"))
+        stars_ = split.groupBy("part").agg(F.min("region").alias("region"), F.min("x").alias("x"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("who"))
+        once = cut(stars_.filter("lo <> hi").groupBy("region", "rows", "who").agg(F.min_by("part", "x").alias("part")).select("part", "rows"))
+        member = cut(meet(split, once, "part", SENT_ROWS).select(F.col("part").alias("region"), "class", "n", "from", "comp"))
+        k += 1
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -310,17 +397,13 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     each = cut(described(own))
     classes = cut(each.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n"), F.count("*").alias("copies")))
     wanted = cut(candidates(own, classes))
-    sets = cut(sets_of(own, wanted))
-    label = components(cut(stars(sets))).select(F.col("node").alias("class"), F.col("label").alias("region"))
-    size = label.groupBy("region").agg(F.count("*").alias("members"))
-    sized = cut(label.join(size, "region"))
-    regions = sets.dropDuplicates(["class"]).join(sized, "class")
-    edges = join_small(regions.filter(F.col("members") <= LEAF).select("region", "class", "sets"))
-    large = sized.filter(F.col("members") > LEAF)
-    if large.limit(1).count():
-        edges = edges.union(join_large(cut(regions.filter(F.col("members") > LEAF).select("region", "class", "sets"))))
-    member = components(cut(edges)).select(F.col("node").alias("class"), "label")
+    sets = cut(sets_of(own, wanted).dropDuplicates(["class"]))
+    common = cut(common_shingles(sets))
+    label = components(cut(stars(common))).select(F.col("node").alias("class"), F.col("label").alias("region"))
+    member = components(join_regions(label, common, sets)).select(F.col("node").alias("class"), "label")
     named = member.join(classes, "class").groupBy("label").agg(F.min("first").alias("component"))
-    of_class = classes.join(member, "class", "left").join(named, "label", "left").select("class", F.coalesce("component", "first").alias("component"))
-    joined = each.join(cut(of_class), "class", "left")
-    return joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    # most classes are one document with no link, whose component is its own id
+    of_class = classes.join(member, "class", "left").join(named, "label", "left").filter("copies > 1 or component is not null")
+    of_class = cut(of_class.select("class", F.coalesce("component", "first").alias("component"), F.col("copies").alias("rows")))
+    met = meet(each.filter("n_shingles > 0"), of_class, "class", SENT_ROWS, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return met.union(each.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

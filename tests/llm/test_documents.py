@@ -103,28 +103,70 @@ def test_groups(spark, monkeypatch, leaf, sent):
     monkeypatch.setattr(jaccard, "LEAF", leaf)
     monkeypatch.setattr(jaccard, "SENT_ROWS", sent)
     monkeypatch.setattr(jaccard, "SENT_SHINGLES", sent)
+    monkeypatch.setattr(jaccard, "HOT", 20)
     rows = near_copies(14)
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.groups(table(spark, rows)).collect()), key=str)
     assert got == brute_components(rows)
 
 
+def mosaics(n, seed=7):
+    """Texts of stock sentences in any order, hardly any of them linked, a chain, and a large group of near copies."""
+    r = random.Random(seed)
+    stock = [sentence(r, 9) for _ in range(60)]
+    rows = [(i, " ".join(r.sample(stock, 6)), "a") for i in range(n)]
+    chain = sentence(r, 150).split()
+    for i in range(20):
+        rows.append((2000 + i, " ".join(chain), "a"))
+        for _ in range(2):
+            chain[r.randrange(len(chain))] = f"c{r.randrange(10**6)}"
+    base = " ".join(stock[:8]).split()
+    for i in range(n // 2):
+        w = list(base)
+        w[r.randrange(len(w))] = f"m{i}"
+        rows.append((3000 + i, " ".join(w), "a"))
+    return rows
+
+
+@pytest.mark.parametrize("leaf,weight", [(1024, 1 << 22), (40, 1 << 22), (1024, 3000)])
+def test_groups_of_mosaics(spark, monkeypatch, leaf, weight):
+    """Regions of many classes without links end in the time of their pairs, in one task and parted."""
+    monkeypatch.setattr(jaccard, "LEAF", leaf)
+    monkeypatch.setattr(jaccard, "LEAF_WEIGHT", weight)
+    monkeypatch.setattr(jaccard, "PIVOTS", 8)
+    monkeypatch.setattr(jaccard, "PIVOT_WEIGHT", 400)
+    rows = mosaics(500 if leaf == 1024 and weight > 3000 else 150)
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.groups(table(spark, rows)).collect()), key=str)
+    assert got == brute_components(rows)
+
+
 def test_groups_of_nothing(spark):
     assert jaccard.groups(table(spark, [])).count() == 0
 
 
-def test_cells_join_as_all_pairs_do():
+@pytest.mark.parametrize("gather,dense", [(1 << 22, 1 << 12), (5, 3)])
+def test_cells_join_as_all_pairs_do(monkeypatch, gather, dense):
+    monkeypatch.setattr(jaccard, "GATHER", gather)
+    monkeypatch.setattr(jaccard, "DENSE", dense)
     r = random.Random(9)
-    for _ in range(20):
+    for k in range(20):
         base = [np.unique(np.array(r.sample(range(3000), 60))) for _ in range(3)]
-        sets = [np.unique(np.concatenate([b[: r.randint(48, 60)], np.array(r.sample(range(3000, 9000), r.randint(0, 12)), np.int64)])) for b in r.choices(base, k=50)]
-        groups, all_pairs = jaccard.Groups(50), jaccard.Groups(50)
-        jaccard.join_cell(list(range(50)), sets, groups)
-        for i in range(50):
-            for j in range(i):
-                if jaccard.linked(sets[i], sets[j]):
-                    all_pairs.join(i, j)
-        same = lambda g: [[g.of(i) == g.of(j) for i in range(50)] for j in range(50)]
-        assert same(groups) == same(all_pairs)
+        sets = [np.unique(np.concatenate([b[: r.randint(48, 60)], np.array(r.sample(range(3000, 3300), r.randint(0, 12)), np.int64)])) for b in r.choices(base, k=60 + k)]
+        region, m = jaccard.Region(sets), len(sets)
+        common = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+        assert (region.common(np.arange(m)) == common).all()
+        region.join(np.arange(m))
+        label = np.arange(m)
+        for i, j in np.argwhere(jaccard.linked(common, region.sizes[:, None], region.sizes)):
+            label[label == label[i]] = label[j]
+        assert ((region.label[:, None] == region.label) == (label[:, None] == label)).all()
+
+
+def test_a_region_of_pairs_far_from_each_other_ends():
+    r = random.Random(3)
+    sets = [np.unique(np.r_[0, [r.randrange(10**9) for _ in range(40)]]) for _ in range(1024)]
+    region = jaccard.Region(sets)
+    region.join(np.arange(1024))
+    assert len(set(region.label.tolist())) == 1024
 
 
 def test_components(spark):
