@@ -7,6 +7,8 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Small tables are written by at least LEAST_FILES tasks, and by one for each ROWS_A_FILE rows.
+LEAST_FILES, ROWS_A_FILE = 8, 100_000
 _runs: list[list[str]] = []
 
 
@@ -29,10 +31,12 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it from there: a later loss of executors recomputes nothing above it, and no plan or constraint grows over the rounds of a loop."""
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Write df as a table in the shared folder and read it from there: a later loss of executors recomputes nothing above it, and no plan or constraint grows over the rounds of a loop.
+    If it is known that df has at most `rows` rows, all of them small, few tasks write few files, however many partitions a shuffle has."""
     path = new_folder(df.sparkSession, "cut")
-    df.write.parquet(path)
+    few = df if rows is None else df.coalesce(max(LEAST_FILES, -(-rows // ROWS_A_FILE)))
+    few.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
