@@ -22,9 +22,10 @@ def build(spark: SparkSession, source: str, target: str, s: int, compressed: boo
     text = read_files(spark, source)
     sa = (sparse_suffix_array if optimized else full_then_sample)(text, s, plan)
     headers = header(sized(text, s), s, compressed)
-    of = headers.first()
-    if of is None:
-        raise FileNotFoundError(source)
+    found = headers.limit(2).collect()
+    if len(found) != 1:
+        raise FileNotFoundError(source) if not found else ValueError(f"more than one file at {source}: a target holds one suffix array")
+    of = found[0]
     words = compress(sa, headers, ["path"]) if compressed else sa.select("path", F.col("rank").alias("word_idx"), F.col("pos").alias("word"))
     write_ssa(words, target, of.bits_per_element, s, of.sa_length)
     log.info("built and wrote %s in %.2f s", target, time.monotonic() - began)

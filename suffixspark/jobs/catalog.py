@@ -1,10 +1,14 @@
 """The registered queries over the given tables, and their SQL."""
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from suffixspark.operators import alphabet, compress, packing
 from suffixspark.operators.suffix_sort import double, full_then_sample, sparse_suffix_array
+from suffixspark.session import cut, new_folder
+from suffixspark.sources.ssa_file import read_ssa, write_ssa
 from suffixspark.sources.texts import as_bytes, joined_symbols, sized, symbols
 
 KEYS = {"documents": (["doc_id"], "text"), "benchmark": (["item_id"], "text"), "conversations": (["conv_id", "turn"], "text"), "pages": (["page_id"], "html")}
@@ -90,7 +94,24 @@ def q13_fixed_ranks(spark, d):
     return alphabet.fixed_ranks(symbols(texts(spark, d, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (q01_text_length, q02_symbol_frequency, q03_alphabet_rank, q04_alphabet_bits, q05_bitpack_s3, q06_suffix_array, q06_suffix_array_conversations, q07_ssa_full_then_sample, q08_ssa_packed, q08_ssa_documents, q08_ssa_pages, q09_ssa_compressed_words, q10_ssa_decompressed, q11_ssa_header, q12_ssa_single_text, q13_fixed_ranks)}
+def q14_ssa_file(spark, d):
+    """All of benchmark as one text: its suffix array compressed, written as a file in the shared folder, read back and decompressed."""
+    sa = cut(q12_ssa_single_text(spark, d).withColumn("one", F.lit(0)))
+    size = sa.agg(F.count("*").alias("cells")).select(F.lit(0).alias("one"), "cells")
+    head = compress.header(size, 3)
+    of = head.first()
+    folder = new_folder(spark, "ssa").removeprefix("file://")
+    os.makedirs(folder)
+    write_ssa(compress.compress(sa, head, ["one"]), f"{folder}/benchmark.ssa", of.bits_per_element, 3, of.sa_length)
+    words = read_ssa(spark, f"{folder}/benchmark.ssa").withColumn("one", F.lit(0))
+    return compress.decompress(words, head, ["one"]).select("rank", "pos")
+
+
+def q15_bitpack_wide(spark, d):
+    return packing.bitpack_wide(texts(spark, d, "benchmark"), 13)
+
+
+QUERIES = {f.__name__: f for f in (q01_text_length, q02_symbol_frequency, q03_alphabet_rank, q04_alphabet_bits, q05_bitpack_s3, q06_suffix_array, q06_suffix_array_conversations, q07_ssa_full_then_sample, q08_ssa_packed, q08_ssa_documents, q08_ssa_pages, q09_ssa_compressed_words, q10_ssa_decompressed, q11_ssa_header, q12_ssa_single_text, q13_fixed_ranks, q14_ssa_file, q15_bitpack_wide)}
 
 
 def _hex(table: str, keys: str, column: str = "text") -> str:
@@ -106,6 +127,14 @@ def _suffixes(table: str, keys: str, s: int) -> str:
         select {keys}, pos, row_number() over (partition by {keys} order by substr(h, 2 * pos + 1)) - 1 as rank from e"""
 
 
+def _long_suffixes(table: str, keys: str, s: int, column: str) -> str:
+    """The same for long texts: whole suffixes are compared only where their first 64 bytes are equal."""
+    return f"""with {_hex(table, keys, column)}, e as (select *, unnest(range(0, length(h) // 2, {s})) pos from h), f as (select *, substr(h, 2 * pos + 1, 128) as near from e),
+        g as (select {keys}, pos, near, h, count(*) over (partition by {keys}, near) as n from f),
+        w as (select {keys}, pos, near, case when n > 1 then substr(h, 2 * pos + 129) end as rest from g)
+        select {keys}, pos, row_number() over (partition by {keys} order by near, rest) - 1 as rank from w"""
+
+
 _FREQUENCY = "select doc_id, byte, count(*) as cnt from ch group by 1, 2"
 _HEADER = "hd as (select item_id, cells, length(bin(greatest(cells * 3, 1)))::bigint as bits from (select item_id, (strlen(text) + 2) // 3 as cells from benchmark where text is not null))"
 _WIDTH = "case when count(*) <= 1 then 0 else length(bin(count(*) - 1)) end::bigint"
@@ -124,6 +153,8 @@ ORACLES = {
     "q06_suffix_array_conversations": _suffixes("conversations", "conv_id, turn", 1),
     "q07_ssa_full_then_sample": _suffixes("benchmark", "item_id", 3),
     "q08_ssa_packed": _suffixes("conversations", "conv_id, turn", 3),
+    "q08_ssa_documents": _long_suffixes("documents", "doc_id", 3, "text"),
+    "q08_ssa_pages": _long_suffixes("pages", "page_id", 5, "html"),
     "q09_ssa_compressed_words": f"""with sa as ({_suffixes('benchmark', 'item_id', 3)}), {_HEADER},
         bs as (select item_id, string_agg(lpad(bin(pos), bits::int, '0'), '' order by rank) b from sa join hd using (item_id) group by 1),
         w as (select item_id, unnest(range(0, (length(b) + 63) // 64)) word_idx, b from bs),
@@ -133,6 +164,11 @@ ORACLES = {
     "q10_ssa_decompressed": _suffixes("benchmark", "item_id", 3),
     "q11_ssa_header": f"with {_HEADER} select item_id, bits as bits_per_element, 3::bigint as sparseness, cells as sa_length, (cells * bits + 63) // 64 as n_words from hd",
     "q12_ssa_single_text": f"with t as (select string_agg(text, '-' order by item_id) || '$' as text, 0 as one from benchmark), r as ({_suffixes('t', 'one', 3)}) select rank, pos from r",
+    "q14_ssa_file": f"with t as (select string_agg(text, '-' order by item_id) || '$' as text, 0 as one from benchmark), r as ({_suffixes('t', 'one', 3)}) select rank, pos from r",
+    "q15_bitpack_wide": f"""with {_symbols('benchmark', 'item_id')}, al as (select item_id, byte, row_number() over (partition by item_id order by byte) - 1 as rank from (select distinct item_id, byte from ch)),
+        bt as (select item_id, {_WIDTH} as bpc, 62 // greatest({_WIDTH}, 1) as take from al group by 1),
+        p as (select *, pos // 13 as cell, (pos % 13) // take as piece from ch join al using (item_id, byte) join bt using (item_id))
+        select item_id, cell, piece, sum(rank << (bpc * (least(13, (piece + 1) * take) - 1 - pos % 13)))::bigint as code from p group by 1, 2, 3""",
     "q13_fixed_ranks": f"""with {_symbols('benchmark', 'item_id')} select item_id, pos, case byte when 36 then 0 when 45 then 1 else byte - 65 + 2 end::bigint as rank_aa,
         case byte when 67 then 1 when 71 then 2 when 84 then 3 else 0 end::bigint as rank_dna from ch""",
 }

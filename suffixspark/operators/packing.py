@@ -21,3 +21,14 @@ def bitpack(df: DataFrame, s: int) -> DataFrame:
     bits = alphabet_bits(df, s).select(*keys, F.expr(f"if(required_bits <= 62, bits_per_char, raise_error('a cell of {s} symbols needs more than 62 bits'))").cast("bigint").alias("bits_per_char"))
     ranked = symbols(df).join(alphabet_rank(df), [*keys, "byte"]).join(bits, keys)
     return pack_symbols(ranked, keys, s)
+
+
+def bitpack_wide(df: DataFrame, s: int) -> DataFrame:
+    """keys, cell, piece, code for cells of any width: a cell is cut into pieces of as many symbols as 62 bits hold. The pieces of a cell in turn sort as the cell does."""
+    keys = [c for c in df.columns if c != "content"]
+    bits = alphabet_bits(df, s).select(*keys, "bits_per_char", F.expr("62L div greatest(bits_per_char, 1L)").alias("take"))
+    rows = symbols(df).join(alphabet_rank(df), [*keys, "byte"]).join(bits, keys)
+    rows = rows.withColumn("cell", F.expr(f"pos div {s}L")).withColumn("piece", F.expr(f"(pos % {s}L) div take"))
+    place = F.expr(f"cast(bits_per_char * (least({s}L, (piece + 1) * take) - 1 - pos % {s}L) as int)")
+    part = rows.withColumn("place", place).withColumn("part", F.expr("shiftleft(rank, place)"))
+    return part.groupBy(*keys, "cell", "piece").agg(F.sum("part").alias("code"))

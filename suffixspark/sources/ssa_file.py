@@ -9,8 +9,10 @@ The path must be on a file system that all executors mount: each task writes its
 
 import os
 import struct
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby, islice
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -64,29 +66,34 @@ class SsaReader(DataSourceReader):
 
 
 class SsaWriter(DataSourceWriter):
-    """Tasks write into path + ".part"; the commit on the driver writes the header and renames it. Writing a word twice is harmless."""
+    """Tasks write into a file beside the path, of its own name for each job; the commit on the driver writes the header and renames it. Writing a word twice is harmless."""
 
     def __init__(self, options: dict):
         self.path, self.bits, self.sparseness, self.length = options["path"], int(options["bits"]), int(options["sparseness"]), int(options["length"])
         if not 1 <= self.sparseness <= 255:
             raise ValueError("the file holds the sparseness in one byte: 1 to 255")
-        open(self.path + ".part", "wb").close()
+        self.part = f"{self.path}.{uuid.uuid4().hex}.part"
+        open(self.part, "wb").close()
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
-        with open(self.path + ".part", "r+b") as f:
-            for r in rows:
-                f.seek(HEADER.size + 8 * r.word_idx)
-                f.write(struct.pack("<q", r.word))
+        with open(self.part, "r+b") as f:
+            for _, run in groupby(enumerate(rows), lambda x: x[1].word_idx - x[0]):  # neighbouring words are one write
+                first = None
+                while some := [r for _, r in islice(run, WORDS_PER_TASK)]:
+                    if first is None:
+                        first = some[0].word_idx
+                        f.seek(HEADER.size + 8 * first)
+                    f.write(np.array([r.word for r in some], "<i8").tobytes())
         return WriterCommitMessage()
 
     def commit(self, messages: list) -> None:
-        with open(self.path + ".part", "r+b") as f:
+        with open(self.part, "r+b") as f:
             f.write(HEADER.pack(self.bits, self.sparseness, self.length))
-        os.replace(self.path + ".part", self.path)
+        os.replace(self.part, self.path)
 
     def abort(self, messages: list) -> None:
-        if os.path.exists(self.path + ".part"):
-            os.remove(self.path + ".part")
+        if os.path.exists(self.part):
+            os.remove(self.part)
 
 
 def write_ssa(words: DataFrame, path: str, bits: int, sparseness: int, length: int) -> None:
