@@ -36,11 +36,13 @@ from suffixspark.session import cut
 SHINGLE, PERCENT = 5, 80
 WIDER = 20  # windows are wider by a 20th of the set
 #: Regions of up to LEAF classes and LEAF_WEIGHT shingles in all (8 bytes each) are joined in one task. PIVOTS: of a region in a round; CELLS: pivots within a task.
-LEAF, LEAF_WEIGHT, PIVOTS, CELLS = 1024, 1 << 22, 64, 8
+LEAF, LEAF_WEIGHT, PIVOTS, CELLS = 4096, 1 << 22, 256, 8
 #: The pivots' shingles that are sent to the tasks at a time (8 bytes each), and those of one region, the first of its pivots excepted.
-PIVOT_WEIGHT, REGION_WEIGHT = 1 << 22, 1 << 20
-#: Row and column counts that a product of incidence tables takes at a time.
-GATHER, DENSE = 1 << 22, 1 << 12
+PIVOT_WEIGHT, REGION_WEIGHT = 1 << 22, 1 << 18
+#: A row with a set counts as so many rows of numbers when tables are cut.
+SET_ROWS = 8
+#: Entries of lists and cells of a table that a product of incidence tables takes at a time.
+GATHER, DENSE = 1 << 22, 1 << 22
 #: Candidates of up to this many classes (24 bytes each) are sent to the tasks to pick their texts; more are joined.
 SENT_ROWS = 1_000_000
 #: The same for shingles that several classes have (16 bytes each).
@@ -250,10 +252,11 @@ class Region:
             out[first:last] += np.bincount((np.repeat(of[lo:hi], d) - first) * m + self.posts[where], minlength=(last - first) * m).reshape(-1, m)
             lo = hi
         heavy = np.flatnonzero(self.heavy)
-        for lo in range(0, len(heavy), DENSE):
-            table = np.zeros((m, len(heavy[lo : lo + DENSE])), np.float32)
-            d = self.df[heavy[lo : lo + DENSE]]
-            where = np.repeat(self.starts[heavy[lo : lo + DENSE]] - np.cumsum(d) + d, d) + np.arange(d.sum())
+        width = max(1, DENSE // max(1, m))
+        for lo in range(0, len(heavy), width):
+            some = heavy[lo : lo + width]
+            table, d = np.zeros((m, len(some)), np.float32), self.df[some]
+            where = np.repeat(self.starts[some] - np.cumsum(d) + d, d) + np.arange(d.sum())
             table[self.posts[where], np.repeat(np.arange(len(d)), d)] = 1
             out += table[rows] @ table.T
         out[np.arange(len(rows)), rows] = self.sizes[rows]
@@ -335,11 +338,11 @@ def _compared(regions: DataFrame, pivots: DataFrame) -> DataFrame:
                     ids, sets = zip(*shared.value[region], strict=True)
                     size, rows = np.array([len(s) for s in sets]), [np.asarray(s, np.int64) for s in own["sets"]]
                     token, at = np.unique(np.concatenate(sets), return_inverse=True)
-                    has = np.zeros((len(token) + 1, len(ids)), np.float32)
+                    has = np.zeros((len(token), len(ids)), np.uint8)
                     has[at, np.repeat(np.arange(len(ids)), size)] = 1
                     for name, s in zip(own["class"].to_numpy(), rows, strict=True):
                         place = np.minimum(np.searchsorted(token, s), len(token) - 1)
-                        common = has[place[token[place] == s]].sum(axis=0, dtype=np.float64)
+                        common = has[place[token[place] == s]].sum(axis=0, dtype=np.int64)
                         hits = np.array(ids)[linked(common, len(s), size)]
                         a.append(hits)
                         b.append(np.full(len(hits), name))
@@ -367,19 +370,20 @@ def join_regions(label: DataFrame, common: DataFrame, sets: DataFrame) -> DataFr
     member = cut(label.join(common.select("class", "n"), "class").select("region", "class", "n", F.lit(0).alias("from"), F.col("class").alias("comp")))
     k = 1
     while True:
-        sized = cut(_sized(member))
+        rows = member.count()
+        sized = cut(_sized(member), rows)
         open_ = meet(member, sized, "region", SENT_ROWS)
         small = open_.filter("small").join(sets, "class").select("region", "class", "sets", "comp")
-        edges = cut(edges.union(join_small(small)).distinct())
+        edges = cut(edges.union(join_small(small)))
         if not sized.filter("not small").limit(1).count():
             return edges
-        large = cut(open_.filter("not small").drop("small"))
+        large = cut(open_.filter("not small").drop("small"), rows)
         for round_no in range(2):
-            pivots = cut(_pivots(large, 2 * k + round_no).join(sets, "class"))
+            pivots = cut(_pivots(large, 2 * k + round_no).join(sets, "class"), SET_ROWS * rows)
             edges = cut(edges.union(_compared(large.join(sets, "class"), pivots)).distinct())
             asked = pivots.select("region", "class", F.lit(True).alias("asked"))
-            large = cut(_labelled(large.join(asked, ["region", "class"], "left_anti"), edges))
-            large = cut(meet(large, _sized(large).drop("small"), "region", SENT_ROWS))
+            large = cut(_labelled(large.join(asked, ["region", "class"], "left_anti"), edges), rows)
+            large = cut(meet(large, cut(_sized(large).drop("small"), rows), "region", SENT_ROWS), rows)
             if large.isEmpty():
                 return edges
         # part what is left by the next common shingle
@@ -395,15 +399,17 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     """doc_id, n_shingles, component_id for every row."""
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.encode(F.coalesce(F.col(text).cast("string"), F.lit("")), "UTF-8").alias("text"))
     each = cut(described(own))
-    classes = cut(each.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n"), F.count("*").alias("copies")))
-    wanted = cut(candidates(own, classes))
-    sets = cut(sets_of(own, wanted).dropDuplicates(["class"]))
-    common = cut(common_shingles(sets))
-    label = components(cut(stars(common))).select(F.col("node").alias("class"), F.col("label").alias("region"))
+    n = each.count()
+    classes = cut(each.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n"), F.count("*").alias("copies")), n)
+    wanted = cut(candidates(own, classes), n)
+    sets = cut(sets_of(own, wanted).dropDuplicates(["class"]), n * SET_ROWS)
+    common = cut(common_shingles(sets), n * SET_ROWS)
+    edges = cut(stars(common))
+    label = components(edges).select(F.col("node").alias("class"), F.col("label").alias("region"))
     member = components(join_regions(label, common, sets)).select(F.col("node").alias("class"), "label")
     named = member.join(classes, "class").groupBy("label").agg(F.min("first").alias("component"))
     # most classes are one document with no link, whose component is its own id
     of_class = classes.join(member, "class", "left").join(named, "label", "left").filter("copies > 1 or component is not null")
-    of_class = cut(of_class.select("class", F.coalesce("component", "first").alias("component"), F.col("copies").alias("rows")))
+    of_class = cut(of_class.select("class", F.coalesce("component", "first").alias("component"), F.col("copies").alias("rows")), n)
     met = meet(each.filter("n_shingles > 0"), of_class, "class", SENT_ROWS, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return met.union(each.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

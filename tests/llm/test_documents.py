@@ -127,14 +127,14 @@ def mosaics(n, seed=7):
     return rows
 
 
-@pytest.mark.parametrize("leaf,weight", [(1024, 1 << 22), (40, 1 << 22), (1024, 3000)])
+@pytest.mark.parametrize("leaf,weight", [(4096, 1 << 22), (40, 1 << 22), (1024, 3000)])
 def test_groups_of_mosaics(spark, monkeypatch, leaf, weight):
     """Regions of many classes without links end in the time of their pairs, in one task and parted."""
     monkeypatch.setattr(jaccard, "LEAF", leaf)
     monkeypatch.setattr(jaccard, "LEAF_WEIGHT", weight)
     monkeypatch.setattr(jaccard, "PIVOTS", 8)
     monkeypatch.setattr(jaccard, "PIVOT_WEIGHT", 400)
-    rows = mosaics(500 if leaf == 1024 and weight > 3000 else 150)
+    rows = mosaics(500 if leaf == 4096 else 150)
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.groups(table(spark, rows)).collect()), key=str)
     assert got == brute_components(rows)
 
@@ -143,7 +143,7 @@ def test_groups_of_nothing(spark):
     assert jaccard.groups(table(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("gather,dense", [(1 << 22, 1 << 12), (5, 3)])
+@pytest.mark.parametrize("gather,dense", [(1 << 22, 1 << 22), (5, 150)])
 def test_cells_join_as_all_pairs_do(monkeypatch, gather, dense):
     monkeypatch.setattr(jaccard, "GATHER", gather)
     monkeypatch.setattr(jaccard, "DENSE", dense)
