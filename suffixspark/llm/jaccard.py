@@ -48,7 +48,7 @@ SENT_ROWS = 1_000_000
 #: The same for shingles that several classes have (16 bytes each).
 SENT_SHINGLES = 4_000_000
 #: Past these, keys with more rows than this (or than a SENT_SHINGLESth of all) are sent apart, the rest meet by a shuffle: no key fills a task.
-HOT = 1 << 16
+HOT, SAMPLED = 1 << 16, 64
 #: Texts are hashed in blocks of about so many bytes, cut at white space.
 BLOCK = 1 << 16
 WHITE = re.compile(rb"[ \t-\r]")
@@ -191,12 +191,23 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return _mapped(rows.select("doc_id", "text", "want"), make, "class long, sets array<long>")
 
 
+def with_frequency(each: DataFrame, rows: int) -> DataFrame:
+    """class, s, df (how many classes have s) from class and s, of `rows` rows, where df > 1. One shuffle; the hot shingles, found by a sample, are counted before theirs. The
+    sample decides only which way a shingle takes: its count is of all rows."""
+    hot = each.sample(1 / SAMPLED, seed=1).groupBy("s").agg(F.count("*").alias("n")).filter(F.col("n") * SAMPLED > max(HOT, rows // SENT_SHINGLES if SENT_SHINGLES else 0)).select("s")
+    hot = cut(hot, rows // max(1, HOT))  # about as many at most
+    most = each.join(F.broadcast(hot), "s")
+    counted = cut(most.groupBy("s").agg(F.count("*").alias("df")), rows // max(1, HOT))
+    rest = each.join(F.broadcast(hot), "s", "left_anti").withColumn("df", F.count("*").over(Window.partitionBy("s")))
+    return rest.unionByName(most.join(F.broadcast(counted), "s")).filter("df > 1")
+
+
 def common_shingles(sets: DataFrame) -> DataFrame:
     """class, n (shingles), of: those that other classes have too, as (df, s) from the rarest on; at most the class's own set."""
-    each = sets.select("class", F.explode("sets").alias("s"))
-    frequency = cut(each.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1").withColumn("rows", F.col("df")))
-    common = meet(each, frequency, "s").groupBy("class").agg(F.array_sort(F.collect_set(F.struct("df", "s"))).alias("of"))
-    return common.join(sets.select("class", F.size("sets").cast("long").alias("n")).distinct(), "class")
+    each = sets.select("class", F.size("sets").cast("long").alias("n"), F.explode("sets").alias("s"))
+    rows = sets.agg(F.sum(F.size("sets"))).first()[0] or 0
+    shared = with_frequency(each, rows)
+    return shared.groupBy("class").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "s"))).alias("of"))
 
 
 def room(k: int) -> Column:
@@ -402,7 +413,9 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     n = each.count()
     classes = cut(each.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n"), F.count("*").alias("copies")), n)
     wanted = cut(candidates(own, classes), n)
-    sets = cut(sets_of(own, wanted).dropDuplicates(["class"]), n * SET_ROWS)
+    sets = cut(sets_of(own, wanted), n * SET_ROWS)
+    if not sets.groupBy("class").count().filter("count > 1").isEmpty():  # rows that repeat an id and its text
+        sets = cut(sets.dropDuplicates(["class"]), n * SET_ROWS)
     common = cut(common_shingles(sets), n * SET_ROWS)
     edges = cut(stars(common))
     label = components(edges).select(F.col("node").alias("class"), F.col("label").alias("region"))

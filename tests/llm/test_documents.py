@@ -104,6 +104,7 @@ def test_groups(spark, monkeypatch, leaf, sent):
     monkeypatch.setattr(jaccard, "SENT_ROWS", sent)
     monkeypatch.setattr(jaccard, "SENT_SHINGLES", sent)
     monkeypatch.setattr(jaccard, "HOT", 20)
+    monkeypatch.setattr(jaccard, "SAMPLED", 2)
     rows = near_copies(14)
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.groups(table(spark, rows)).collect()), key=str)
     assert got == brute_components(rows)
