@@ -4,16 +4,16 @@ Each language has a probability for every piece of a fixed public vocabulary. A
 (forward algorithm); a text's is the product over its words. The piece probabilities are fitted by expectation maximisation on the words of a sample
 of at most about sample_per_lang labelled documents of each language, picked by a hash of the id.
 
-Words are runs of letters of the lower-cased text with the word mark before them, cut into parts of MAX_WORD characters; nothing else of a text is scored.
+Words are runs of letters (Unicode categories L, and M after a letter) of the lower-cased text with the word mark before them, cut into parts of MAX_WORD characters; nothing else of a text is scored.
 A text that is null or has no letter is `und` with score 0, and so is every text if nothing was learned. The score is the posterior probability of the
 language that is returned; ties go to the smaller language. Documents without text, language or id aren't learned from."""
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +22,7 @@ from suffixspark.llm.rows import row_and
 
 SAMPLE_PER_LANG = 1000
 MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 WORDS_AT_ONCE = 4096
 MEMO_WORDS = 400_000
 UNKNOWN = "und"

@@ -8,7 +8,9 @@ k-th best; survivors get their exact integer score.
 Queries and candidates are cut into blocks; a pair of blocks is one row of work, so a task holds two blocks and no more. The queries go to the tasks
 in passes of about PASS_QUERIES each, however many there are; candidates aren't shuffled. A block returns k rows per query, which a window merges. Vectors that are null, empty, or hold nulls or non-finite components take no part, nor do
 rows without id; vectors of unlike dimension aren't compared. A query's own row is no candidate for it; other rows with the same vector are. A repeated
-id asks once (with an arbitrary one of its vectors, if they differ), and each of its rows is a candidate for the others."""
+id asks once (with an arbitrary one of its vectors, if they differ), and each of its rows is a candidate for the others. A quantised component beyond sqrt(2^62 / dimension), whose scores 64 bits might not hold, raises an error
+rather than giving a wrong score. An empty table gives no rows; columns besides the two named aren't read.
+"""
 
 from collections.abc import Iterator
 
@@ -30,7 +32,9 @@ def quantised(vectors: DataFrame, key: str, vector: str, scale: int = 256) -> Da
     """id, dim, v (int32 components as bytes)."""
     x = F.col(vector)
     fit = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
-    rows = vectors.filter(F.col(key).isNotNull() & fit).select(F.col(key).cast("long").alias("id"), F.transform(x, lambda e: F.floor(e.cast("double") * scale)).alias("v"))
+    most = F.sqrt(F.lit(2.0**62) / F.size(x))
+    whole = lambda e: F.when(F.abs(e.cast("double") * scale) <= most, F.floor(e.cast("double") * scale)).otherwise(F.raise_error("a component is too large for exact 64-bit scores").cast("long"))
+    rows = vectors.filter(F.col(key).isNotNull() & fit).select(F.col(key).cast("long").alias("id"), F.transform(x, whole).alias("v"))
     return rows.select("id", F.size("v").alias("dim"), "v")
 
 

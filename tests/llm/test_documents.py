@@ -52,6 +52,15 @@ def test_top_k_of_nothing(spark):
     assert topk.top_k(df, F.col("vec_id") % 10 == 0, 5).count() == 0
 
 
+def test_huge_components_are_an_error(spark):
+    df = spark.createDataFrame([(0, [1e30, 1.0]), (1, [1e30, -1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="too large"):
+        topk.top_k(df, F.col("vec_id") % 10 == 0, 5).collect()
+    large = spark.createDataFrame([(0, [1e6, -1e6]), (1, [1e6, 1e6]), (2, [-1e6, 1e6])], "vec_id long, embedding array<double>")
+    got = topk.top_k(large, F.col("vec_id") == 0, 5).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(1, 0), (2, -2 * 256_000_000**2)]
+
+
 # op9
 
 

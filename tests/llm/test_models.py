@@ -38,6 +38,14 @@ def test_language(spark):
     assert all(p == g for i, g, p, _ in got if i is not None and i < 200) and all(0 <= s <= 1 for *_, s in got)
 
 
+def test_numerals_are_no_letters(spark):
+    docs = table(spark, labelled())
+    rows = [(1, "½ ² Ⅷ ① 3", None), (2, "½ the house", None), (3, "riviere\u0300 de la maison", None)]
+    out = {r["row"]["doc_id"]: (r["lang_pred"], r["score"]) for r in language.predict(table(spark, rows), language.learn(docs)).collect()}
+    assert out[1] == ("und", 0.0) and out[2][0] == "en" and out[3][0] == "fr"
+    assert language.parts("Riviere\u0300 x²y½") == ["▁riviere\u0300", "▁x", "▁y"]
+
+
 def test_language_without_labels(spark):
     docs = table(spark, [(1, "some text", None)])
     assert [(r["lang_pred"], r["score"]) for r in language.predict(docs, language.learn(docs)).collect()] == [("und", 0.0)]
