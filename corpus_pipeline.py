@@ -44,7 +44,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("source_mix", source_mix)]
 
-#: Language ID, groups and the knapsack have no SQL form; tests hold the rows that each stage keeps against brute force.
+#: Language ID, groups and the knapsack have no SQL form. The operators are tested by themselves; the test of the stages looks at columns and row counts only.
 ORACLE_SQL = None
 
 
