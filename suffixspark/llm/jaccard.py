@@ -1,6 +1,6 @@
 """N-gram Jaccard join: documents whose shingle sets have a Jaccard similarity of 80 % or more, and the groups they form.
 
-The join is exact up to collisions of 64-bit hashes. Documents with equal sets are one class, and only classes are compared.
+The join is exact up to collisions of 64-bit hashes (of 48 bits for two linked classes whose shingles no third one has). Documents with equal sets are one class, and only classes are compared.
 
 1. Prefix filter, before any metric step: nearly all distances between texts are 1, so that everything is in the window of a sampled document. A set of n that links
    has need(n) shingles in common with its partner; so by any fixed order of the shingles both hold their first common ones among their first n - need(n) + 1, and w of
@@ -49,6 +49,8 @@ SENT_ROWS = 1_000_000
 SENT_SHINGLES = 4_000_000
 #: Past these, keys with more rows than this (or than a SENT_SHINGLESth of all) are sent apart, the rest meet by a shuffle: no key fills a task.
 HOT, SAMPLED = 1 << 16, 64
+#: The bits of a shingle that step 1 leaves out, and those of a class by which it tells two apart.
+LOW, TAG = np.int64(0xFFFF), (1 << 48) - 1
 #: Texts are hashed in blocks of about so many bytes, cut at white space.
 BLOCK = 1 << 16
 WHITE = re.compile(rb"[ \t-\r]")
@@ -137,14 +139,18 @@ def described(docs: DataFrame) -> DataFrame:
     return _mapped(docs, make, "doc_id long, n_shingles long, class long")
 
 
+def _flat(sets: list[np.ndarray], parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of all parts in turn, and the class of each one's set."""
+    flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    return flat.view(np.int64), np.repeat(np.array([class_of(s) for s in sets], np.int64), [len(p) for p in parts])
+
+
 def windows(docs: DataFrame) -> DataFrame:
-    """s, class: the shingles in whose wider window a class is, by the order of the hashes."""
+    """s, class: the shingles in whose wider window a class is, by the order of the hashes. Of a shingle's hash the first 48 bits: two that meet in these only make more candidates."""
 
     def make(batch: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
-        first = [s[: len(s) - need(len(s)) + wider(len(s))] for s in sets]
-        flat = np.concatenate(first) if first else np.zeros(0, np.uint64)
-        own = np.repeat(np.array([class_of(s) for s in sets], np.int64), [len(f) for f in first])
-        return pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(own)], ["s", "class"])
+        flat, own = _flat(sets, [s[: len(s) - need(len(s)) + wider(len(s))] for s in sets])
+        return pa.RecordBatch.from_arrays([pa.array(flat & ~LOW), pa.array(own)], ["s", "class"])
 
     return _mapped(docs, make, "s long, class long")
 
@@ -152,7 +158,8 @@ def windows(docs: DataFrame) -> DataFrame:
 def candidates(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Classes that have enough window shingles in common with others (step 1)."""
     at = windows(docs)
-    shared = cut(at.groupBy("s").agg(F.min("class").alias("a"), F.max("class").alias("b"), F.count("*").alias("rows")).filter("a <> b").select("s", "rows"))
+    tag = F.col("class").bitwiseAND(TAG)  # 48 bits tell two classes apart here; what is shuffled is smaller by a fifth
+    shared = cut(at.groupBy("s").agg(F.min(tag).alias("a"), F.max(tag).alias("b"), F.count("*").alias("rows")).filter("a <> b").select("s", "rows"))
     hits = meet(at, shared, "s").groupBy("class").agg(F.count("*").alias("hits"))
     least = wider_col(need_col(F.col("n")))
     return hits.join(classes, "class").filter(F.col("hits") >= least * F.col("copies")).select("class", "first", "n")
@@ -177,37 +184,38 @@ def wider_col(n: Column) -> Column:
     return F.floor((n + WIDER - 1) / WIDER)
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """class, sets (array of long) of the wanted classes, from the document with the smallest id; from each row, if that is repeated."""
+def shingles_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """class, s: the shingles of the wanted classes, from the document with the smallest id; from each row, if that is repeated."""
     few = wanted.count() <= SENT_ROWS
     pick = wanted.select(F.col("class").alias("want"), F.col("first"))
     rows = docs.join(F.broadcast(pick) if few else pick, F.col("doc_id").eqNullSafe(F.col("first")))
 
     def make(batch: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
-        own = [class_of(s) for s in sets]
-        kept = [i for i, w in enumerate(batch.column("want").to_pylist()) if w == own[i]]  # an id may have several texts
-        return pa.RecordBatch.from_arrays([pa.array([own[i] for i in kept], pa.int64()), pa.array([sets[i].view(np.int64) for i in kept], pa.list_(pa.int64()))], ["class", "sets"])
-
-    return _mapped(rows.select("doc_id", "text", "want"), make, "class long, sets array<long>")
+        kept = [s for s, w in zip(sets, batch.column("want").to_pylist(), strict=True) if class_of(s) == w]  # an id may have several texts
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in _flat(kept, kept)], ["s", "class"])
 
+    return _mapped(rows.select("doc_id", "text", "want"), make, "s long, class long")
 
-def with_frequency(each: DataFrame, rows: int) -> DataFrame:
-    """class, s, df (how many classes have s) from class and s, of `rows` rows, where df > 1. One shuffle; the hot shingles, found by a sample, are counted before theirs. The
-    sample decides only which way a shingle takes: its count is of all rows."""
-    hot = each.sample(1 / SAMPLED, seed=1).groupBy("s").agg(F.count("*").alias("n")).filter(F.col("n") * SAMPLED > max(HOT, rows // SENT_SHINGLES if SENT_SHINGLES else 0)).select("s")
-    hot = cut(hot, rows // max(1, HOT))  # about as many at most
-    most = each.join(F.broadcast(hot), "s")
-    counted = cut(most.groupBy("s").agg(F.count("*").alias("df")), rows // max(1, HOT))
-    rest = each.join(F.broadcast(hot), "s", "left_anti").withColumn("df", F.count("*").over(Window.partitionBy("s")))
-    return rest.unionByName(most.join(F.broadcast(counted), "s")).filter("df > 1")
 
+def common_shingles(docs: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
+    """class, n (shingles), of: those that other wanted classes have too, as (df, s) from the rarest on, where df is how many have s. Only of classes with as many as a link
+    needs. All that two of them have in common is in both lists.
 
-def common_shingles(sets: DataFrame) -> DataFrame:
-    """class, n (shingles), of: those that other classes have too, as (df, s) from the rarest on; at most the class's own set."""
-    each = sets.select("class", F.size("sets").cast("long").alias("n"), F.explode("sets").alias("s"))
-    rows = sets.agg(F.sum(F.size("sets"))).first()[0] or 0
-    shared = with_frequency(each, rows)
-    return shared.groupBy("class").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "s"))).alias("of"))
+    One shuffle counts the classes of a shingle. Hot shingles, found in a sample of the classes, are counted before theirs; the sample decides only which way a shingle takes: its
+    count is of all classes."""
+    each = shingles_of(docs, wanted)
+    each = each.distinct() if repeated else each
+    rows = wanted.agg(F.sum("n")).first()[0] or 0
+    least = max(HOT, rows // SENT_SHINGLES if SENT_SHINGLES else 0)
+    sampled = shingles_of(docs, wanted.filter(F.pmod(F.xxhash64("class"), F.lit(SAMPLED)) == 0))
+    hot = cut(sampled.groupBy("s").agg(F.count("*").alias("n")).filter(F.col("n") * SAMPLED > least).select("s"), rows // max(1, HOT))  # about as many at most
+    met = each.join(F.broadcast(hot), "s", "left_anti").withColumn("df", F.count("*").over(Window.partitionBy("s")))
+    if not hot.isEmpty():
+        most = each.join(F.broadcast(hot), "s")
+        counted = cut(most.groupBy("s").agg(F.count("*").alias("df")), rows // max(1, HOT))
+        met = met.unionByName(most.join(F.broadcast(counted), "s"))
+    lists = met.filter("df > 1").groupBy("class").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("of"))
+    return lists.join(wanted.select("class", "n"), "class").filter(room(1) > 0).select("class", "n", "of")
 
 
 def room(k: int) -> Column:
@@ -217,7 +225,7 @@ def room(k: int) -> Column:
 
 def stars(common: DataFrame) -> DataFrame:
     """a, b: classes and the least class in the same window (step 2)."""
-    near = common.filter(room(1) > 0).select("class", F.explode(F.slice("of", F.lit(1), room(1))).alias("x")).select("class", F.col("x.s").alias("s"))
+    near = common.select("class", F.explode(F.slice("of", F.lit(1), room(1))).alias("x")).select("class", F.col("x.s").alias("s"))
     near = cut(near)
     lead = cut(near.groupBy("s").agg(F.min("class").alias("lead"), F.count("*").alias("rows")))
     return meet(near, lead.filter("rows > 1"), "s").filter("class <> lead").select(F.col("class").alias("a"), F.col("lead").alias("b")).distinct()
@@ -231,12 +239,14 @@ def linked(common: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Region:
     """The shingle sets of a task's classes as an incidence table, and which classes are connected (label)."""
 
-    def __init__(self, sets: list[np.ndarray], label: np.ndarray | None = None):
+    def __init__(self, sets: list[np.ndarray], label: np.ndarray | None = None, sizes: np.ndarray | None = None):
+        """sizes: of the whole sets, if some of their shingles, which no other has, are left out."""
         m = len(sets)
-        self.sizes = np.array([len(s) for s in sets], np.int64)
+        held = np.array([len(s) for s in sets], np.int64)
+        self.sizes = held if sizes is None else sizes
         self.label = np.arange(m) if label is None else np.unique(label, return_inverse=True)[1]
         _, token, df = np.unique(np.concatenate(sets) if m else np.zeros(0, np.int64), return_inverse=True, return_counts=True)
-        row, shared = np.repeat(np.arange(m), self.sizes), df[token] > 1
+        row, shared = np.repeat(np.arange(m), held), df[token] > 1
         row, token = row[shared], np.cumsum(df > 1)[token[shared]] - 1
         self.rows = token, np.searchsorted(row, np.arange(m + 1))  # tokens of a row
         self.df = df[df > 1]
@@ -303,12 +313,12 @@ class Region:
 
 
 def join_small(regions: DataFrame) -> DataFrame:
-    """a, b: edges that connect what is linked in each region of (region, class, sets, comp), where those of one comp are connected already."""
+    """a, b: edges that connect what is linked in each region of (region, class, n, sets, comp), where those of one comp are connected already."""
 
     def leaf(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("class")
         ids = pdf["class"].to_numpy()
-        region = Region([np.asarray(s, np.int64) for s in pdf["sets"]], pdf["comp"].to_numpy())
+        region = Region([np.asarray(s, np.int64) for s in pdf["sets"]], pdf["comp"].to_numpy(), pdf["n"].to_numpy())
         before = region.label.copy()
         region.join(np.arange(len(ids)))
         new = np.isin(region.label, region.label[region.label != before])  # groups that have grown
@@ -331,35 +341,35 @@ def _pivots(member: DataFrame, round_no: int) -> DataFrame:
 
 
 def _compared(regions: DataFrame, pivots: DataFrame) -> DataFrame:
-    """a, b: links between the classes of regions (region, class, sets) and pivots (region, class, sets, n), which go to the tasks in passes of about PIVOT_WEIGHT shingles."""
+    """a, b: links between the classes of regions (region, class, n, sets) and pivots (region, class, sets, n), which go to the tasks in passes of about PIVOT_WEIGHT shingles."""
     passes = max(1, -(-(pivots.agg(F.sum("n")).first()[0] or 0) // PIVOT_WEIGHT))
     found = None
     for p in range(passes):
         part = F.pmod(F.xxhash64("region"), F.lit(passes)) == p
-        table: dict[int, list[tuple[int, np.ndarray]]] = {}
-        for batch in pivots.filter(part).select("region", "class", "sets").toArrow().to_batches():
-            for region, own, s in zip(batch.column("region").to_pylist(), batch.column("class").to_pylist(), batch.column("sets"), strict=True):
-                table.setdefault(region, []).append((own, s.values.to_numpy()))
+        table: dict[int, list[tuple[int, int, np.ndarray]]] = {}
+        for batch in pivots.filter(part).select("region", "class", "n", "sets").toArrow().to_batches():
+            for region, own, n, s in zip(*(batch.column(c).to_pylist() for c in ("region", "class", "n")), batch.column("sets"), strict=True):
+                table.setdefault(region, []).append((own, n, s.values.to_numpy()))
         shared = regions.sparkSession.sparkContext.broadcast(table)
 
         def compare(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                 for region, own in pdf.groupby("region"):
-                    ids, sets = zip(*shared.value[region], strict=True)
-                    size, rows = np.array([len(s) for s in sets]), [np.asarray(s, np.int64) for s in own["sets"]]
+                    ids, size, sets = zip(*shared.value[region], strict=True)
+                    held, size, rows = [len(s) for s in sets], np.array(size), [np.asarray(s, np.int64) for s in own["sets"]]
                     token, at = np.unique(np.concatenate(sets), return_inverse=True)
                     has = np.zeros((len(token), len(ids)), np.uint8)
-                    has[at, np.repeat(np.arange(len(ids)), size)] = 1
-                    for name, s in zip(own["class"].to_numpy(), rows, strict=True):
+                    has[at, np.repeat(np.arange(len(ids)), held)] = 1
+                    for name, n, s in zip(own["class"].to_numpy(), own["n"].to_numpy(), rows, strict=True):
                         place = np.minimum(np.searchsorted(token, s), len(token) - 1)
                         common = has[place[token[place] == s]].sum(axis=0, dtype=np.int64)
-                        hits = np.array(ids)[linked(common, len(s), size)]
+                        hits = np.array(ids)[linked(common, n, size)]
                         a.append(hits)
                         b.append(np.full(len(hits), name))
                 yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-        links = regions.filter(part).select("region", "class", "sets").mapInPandas(compare, "a long, b long").filter("a <> b")
+        links = regions.filter(part).select("region", "class", "n", "sets").mapInPandas(compare, "a long, b long").filter("a <> b")
         found = links if found is None else found.union(links)
     return found
 
@@ -375,23 +385,29 @@ def _labelled(member: DataFrame, edges: DataFrame) -> DataFrame:
     return member.join(labels, "class", "left").withColumn("comp", F.coalesce("label", "class")).drop("label")
 
 
-def join_regions(label: DataFrame, common: DataFrame, sets: DataFrame) -> DataFrame:
+def with_sets(member: DataFrame, sets: DataFrame, rows: int) -> DataFrame:
+    """The members, at most `rows`, with their sets. Few of them are sent, so that sets are shuffled once at most."""
+    return sets.join(F.broadcast(member) if rows <= SENT_ROWS else member, "class")
+
+
+def join_regions(label: DataFrame, common: DataFrame) -> DataFrame:
     """a, b: edges that connect what is linked in the regions of label (class, region), whatever their sizes (steps 3 and 4)."""
     edges = label.sparkSession.createDataFrame([], "a long, b long")
+    sets = common.select("class", F.col("of.s").alias("sets"))
     member = cut(label.join(common.select("class", "n"), "class").select("region", "class", "n", F.lit(0).alias("from"), F.col("class").alias("comp")))
     k = 1
     while True:
         rows = member.count()
         sized = cut(_sized(member), rows)
         open_ = meet(member, sized, "region", SENT_ROWS)
-        small = open_.filter("small").join(sets, "class").select("region", "class", "sets", "comp")
+        small = with_sets(open_.filter("small"), sets, rows).select("region", "class", "n", "sets", "comp")
         edges = cut(edges.union(join_small(small)))
         if not sized.filter("not small").limit(1).count():
             return edges
         large = cut(open_.filter("not small").drop("small"), rows)
         for round_no in range(2):
-            pivots = cut(_pivots(large, 2 * k + round_no).join(sets, "class"), SET_ROWS * rows)
-            edges = cut(edges.union(_compared(large.join(sets, "class"), pivots)).distinct())
+            pivots = cut(with_sets(_pivots(large, 2 * k + round_no), sets, rows), SET_ROWS * rows)
+            edges = cut(edges.union(_compared(with_sets(large, sets, rows), pivots)).distinct())
             asked = pivots.select("region", "class", F.lit(True).alias("asked"))
             large = cut(_labelled(large.join(asked, ["region", "class"], "left_anti"), edges), rows)
             large = cut(meet(large, cut(_sized(large).drop("small"), rows), "region", SENT_ROWS), rows)
@@ -413,13 +429,12 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     n = each.count()
     classes = cut(each.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n"), F.count("*").alias("copies")), n)
     wanted = cut(candidates(own, classes), n)
-    sets = cut(sets_of(own, wanted), n * SET_ROWS)
-    if not sets.groupBy("class").count().filter("count > 1").isEmpty():  # rows that repeat an id and its text
-        sets = cut(sets.dropDuplicates(["class"]), n * SET_ROWS)
-    common = cut(common_shingles(sets), n * SET_ROWS)
+    named = each.join(wanted.select("class", "first"), "class").filter(F.col("doc_id").eqNullSafe(F.col("first")))
+    repeated = named.count() > wanted.count()  # rows that repeat an id and its text
+    common = cut(common_shingles(own, wanted, repeated), n * SET_ROWS)
     edges = cut(stars(common))
     label = components(edges).select(F.col("node").alias("class"), F.col("label").alias("region"))
-    member = components(join_regions(label, common, sets)).select(F.col("node").alias("class"), "label")
+    member = components(join_regions(label, common)).select(F.col("node").alias("class"), "label")
     named = member.join(classes, "class").groupBy("label").agg(F.min("first").alias("component"))
     # most classes are one document with no link, whose component is its own id
     of_class = classes.join(member, "class", "left").join(named, "label", "left").filter("copies > 1 or component is not null")
