@@ -4,9 +4,10 @@ Each language has a probability for every piece of a fixed public vocabulary. A
 (forward algorithm); a text's is the product over its words. The piece probabilities are fitted by expectation maximisation on the words of a sample
 of at most about sample_per_lang labelled documents of each language, picked by a hash of the id.
 
-Words are runs of letters (Unicode categories L, and M after a letter) of the lower-cased text with the word mark before them, cut into parts of MAX_WORD characters; nothing else of a text is scored.
+Words are runs of letters (Unicode categories L, and M after a letter) of the lower-cased text with the word mark before them, of any length; nothing else of a text is scored.
 A text that is null or has no letter is `und` with score 0, and so is every text if nothing was learned. The score is the posterior probability of the
-language that is returned; ties go to the smaller language. Documents without text, language or id aren't learned from."""
+language that is returned; ties go to the smaller language. Documents without text, language or id aren't learned from.
+Repeated rows are each learned from and each scored. An empty table gives no rows, and columns of any name, also those of the result, stay inside `row`."""
 
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,14 +18,15 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from suffixspark.llm.pieces import MAX_WORD, TOKENIZERS, PieceTable, expected_counts, forward, lattice, vocabulary
+from suffixspark.llm.pieces import SIDE_BY_SIDE, TOKENIZERS, PieceTable, expected_counts, forward, lattice, log_forward, long_word_counts, vocabulary
 from suffixspark.llm.rows import row_and
 
 SAMPLE_PER_LANG = 1000
 MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 WORDS_AT_ONCE = 4096
-MEMO_WORDS = 400_000
+#: The words whose scores a task keeps have at most so many characters together (and one batch).
+MEMO_CHARACTERS = 1 << 22
 UNKNOWN = "und"
 
 
@@ -37,10 +39,7 @@ class Languages:
 
 def parts(text: str) -> list[str]:
     """The words of a text, as they are scored."""
-    found = LETTERS.findall(text.lower())
-    if any(len(w) >= MAX_WORD for w in found):
-        return [x for w in found for x in ("▁" + w[i : i + MAX_WORD - 1] for i in range(0, len(w), MAX_WORD - 1))]
-    return ["▁" + w for w in found]
+    return ["▁" + w for w in LETTERS.findall(text.lower())]
 
 
 def word_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
@@ -78,38 +77,44 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         number = {w: i for i, w in enumerate(words)}
         weight = np.zeros((len(words), len(names)))
         weight[table["word"].map(number), table["lang"].map({n: i for i, n in enumerate(names)})] = table["n"]
+        short = sum(len(w) <= SIDE_BY_SIDE for w in words)
         for _ in range(rounds):
             counts = np.zeros_like(prob)
-            for lo in range(0, len(words), WORDS_AT_ONCE):
-                some = words[lo : lo + WORDS_AT_ONCE]
-                counts += expected_counts(lattice(some, tables), np.array([len(w) for w in some]), weight[lo : lo + WORDS_AT_ONCE], prob)
+            for lo in range(0, short, WORDS_AT_ONCE):
+                some = words[lo : min(lo + WORDS_AT_ONCE, short)]
+                counts += expected_counts(lattice(some, tables), np.array([len(w) for w in some]), weight[lo : lo + len(some)], prob)
+            for i in range(short, len(words)):
+                counts += long_word_counts(words[i], tables, weight[i], prob)
             prob = (counts + 0.01) / (counts + 0.01).sum(axis=0)
     return Languages(names, prob, prior)
 
 
 class Scorer:
-    """Texts -> log probabilities by language. The scores of words are kept up to MEMO_WORDS of them, then gathered anew."""
+    """Texts -> log probabilities by language. The scores of words are kept up to MEMO_CHARACTERS, then gathered anew."""
 
     def __init__(self, languages: Languages, pieces: dict[str, int]):
-        self.of, self.table = languages, PieceTable(pieces)
+        self.of, self.table, self.log_prob = languages, PieceTable(pieces), np.log(languages.prob)
         self._clear()
 
     def _clear(self) -> None:
-        self.number, self.rows = {}, np.zeros((0, len(self.of.names)))
+        self.number, self.size, self.rows = {}, 0, np.zeros((0, len(self.of.names)))
 
     def _add(self, words: list[str]) -> None:
         words = sorted(words, key=len)
         new = [self.rows]
-        for lo in range(0, len(words), WORDS_AT_ONCE):
-            some = words[lo : lo + WORDS_AT_ONCE]
+        short = sum(len(w) <= SIDE_BY_SIDE for w in words)
+        for lo in range(0, short, WORDS_AT_ONCE):
+            some = words[lo : min(lo + WORDS_AT_ONCE, short)]
             alpha = forward(lattice(some, self.table), self.of.prob)
             new.append(np.log(np.maximum(alpha[[len(w) for w in some], np.arange(len(some))], 1e-300)))
+        new += [log_forward(w, self.table, self.log_prob)[None, :] for w in words[short:]]
+        self.size += sum(map(len, words))
         self.number |= zip(words, range(len(self.rows), len(self.rows) + len(words)), strict=True)
         self.rows = np.vstack(new)
 
     def score(self, texts: list[str]) -> np.ndarray:
         split = [parts(t) for t in texts]
-        if len(self.number) > MEMO_WORDS:
+        if self.size > MEMO_CHARACTERS:
             self._clear()
         missing = set().union(*split) - self.number.keys()
         if missing:

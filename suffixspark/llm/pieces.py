@@ -6,8 +6,8 @@ import numpy as np
 
 TOKENIZERS = "/opt/tokenizers"
 MAX_PIECE = 16
-#: Longer words are scored in parts of this many characters, each a word of its own.
-MAX_WORD = 24
+#: Words of more characters are summed one by one and in logarithms, since their probabilities leave the range of doubles; the others side by side.
+SIDE_BY_SIDE = 24
 
 
 @lru_cache(maxsize=2)
@@ -27,7 +27,7 @@ class PieceTable:
     BASE = np.uint64(0x9E3779B97F4A7C15)
 
     def __init__(self, pieces: dict[str, int]):
-        self.unknown = len(pieces)
+        self.pieces, self.unknown = pieces, len(pieces)
         self.power = np.array([pow(int(self.BASE), k, 1 << 64) for k in range(MAX_PIECE + 1)], np.uint64)
         texts = list(pieces)
         left = self.hashes(texts), np.array([pieces[t] for t in texts], np.int32)
@@ -124,3 +124,41 @@ def expected_counts(found: np.ndarray, lengths: np.ndarray, weight: np.ndarray,
                 for m in range(prob.shape[1]):
                     out[:, m] += np.bincount(ids[at], mass[:, m], len(prob))
     return out
+
+
+def ways(word: str, table: PieceTable, end: int) -> tuple[list[int], list[int]]:
+    """The pieces that end after `end` characters of the word: their lengths and numbers."""
+    lengths, ids = [], []
+    for k in range(1, min(end, MAX_PIECE) + 1):
+        found = table.pieces.get(word[end - k : end], table.unknown if k == 1 else None)
+        if found is not None:
+            lengths.append(k)
+            ids.append(found)
+    return lengths, ids
+
+
+def log_forward(word: str, table: PieceTable, log_prob: np.ndarray) -> np.ndarray:
+    """The logarithm of the summed probability of all segmentations of one word of any length, by model. Only the last MAX_PIECE sums are held."""
+    recent = np.zeros((MAX_PIECE, log_prob.shape[1]))  # of the beginning of e characters at e % MAX_PIECE
+    for end in range(1, len(word) + 1):
+        lengths, ids = ways(word, table, end)
+        recent[end % MAX_PIECE] = np.logaddexp.reduce(recent[[(end - k) % MAX_PIECE for k in lengths]] + log_prob[ids], axis=0)
+    return recent[len(word) % MAX_PIECE]
+
+
+def long_word_counts(word: str, table: PieceTable, weight: np.ndarray, prob: np.ndarray) -> np.ndarray:
+    """expected_counts of one word of any length."""
+    n, log_prob = len(word), np.log(prob)
+    alpha, beta = np.full((n + 1, prob.shape[1]), -np.inf), np.full((n + 1, prob.shape[1]), -np.inf)
+    alpha[0] = beta[n] = 0
+    steps = [ways(word, table, end) for end in range(1, n + 1)]
+    for end, (lengths, ids) in enumerate(steps, 1):
+        alpha[end] = np.logaddexp.reduce(alpha[[end - k for k in lengths]] + log_prob[ids], axis=0)
+    for end in range(n, 0, -1):
+        lengths, ids = steps[end - 1]
+        at = [end - k for k in lengths]
+        beta[at] = np.logaddexp(beta[at], beta[end] + log_prob[ids])
+    out = np.zeros_like(prob)
+    for end, (lengths, ids) in enumerate(steps, 1):
+        np.add.at(out, ids, np.exp(alpha[[end - k for k in lengths]] + log_prob[ids] + beta[end] - alpha[n]) * weight)
+    return out
