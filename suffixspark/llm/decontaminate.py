@@ -2,17 +2,20 @@
 
 Tokens are runs of a-z, 0-9 and non-ASCII bytes after lower-casing A-Z. A passage is two neighbouring stretches of `stretch` tokens, and a text's
 passages overlap by one stretch, so that an item of up to `stretch` tokens lies whole in some passage. Items are grouped by length, for stretches of 64, 128,
-256, ... tokens, and in passes of at most ITEMS_PER_PASS items, the only thing that is sent to the tasks; each pass reads the texts once.
+256, ... tokens, and in indexes of about ITEMS_PER_INDEX items. Indexes of together TOKENS_PER_PASS tokens are sent to the tasks at once; each such pass reads and splits the texts once.
 
 A score is BM25 of the item for the passage's distinct tokens, divided by the item's score for itself. Items stand in blocks of BLOCK; a token's largest share in a
-block bounds what it can add there, so only blocks whose bounds add up to the threshold are scored. All items at or above it are retrieved, then
+block bounds what it can add there, so only blocks whose bounds add up to the threshold are entered, and in them only items are scored that a pivot stops at. All items at or above it are retrieved, then
 verified: the share of the token trigrams of the item's question (all sentences but the last) and of its answer (the last sentence; for an item of
 one sentence, its halves) that are in the passage must both reach min_overlap.
 
-Null and empty texts hold nothing, items without tokens are in nothing; repeated rows and items count each. Without items nothing is found."""
+Null and empty texts hold nothing, items without tokens are in nothing; repeated rows and items count each. Without items nothing is found. Texts of any length are
+searched whole. `clean` keeps columns of any name."""
 
 import math
 import re
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,8 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ITEMS_PER_PASS = 1024
+#: An index has at most about so many items. What is sent to the tasks at once is a group of indexes with at most so many tokens of items (or one index).
+ITEMS_PER_INDEX, TOKENS_PER_PASS = 1024, 1 << 19
 BLOCK = 8
+SLACK = 1e-4  # bounds are rounded
 LEAST_STRETCH = 64
 K1, B = 1.2, 0.75
 THRESHOLD, MIN_OVERLAP = 0.6, 0.6
@@ -51,15 +56,15 @@ def question_and_answer(text: str) -> tuple[set, set]:
 
 @dataclass
 class Index:
-    """Of one pass. Postings by token number: items and shares from start[t] to start[t + 1]; most[t]: the largest share in each block."""
+    """Postings by token number: items (ascending) and shares from start[t] to start[t + 1]; most[t]: the largest share in each block."""
 
     stretch: int
     ids: list
     parts: list[tuple[set, set]]
     number: dict[bytes, int]
     start: np.ndarray
-    items: np.ndarray
-    shares: np.ndarray
+    items: array
+    shares: array
     most: np.ndarray
 
 
@@ -85,11 +90,11 @@ def build(rows: list[tuple[int, str]], stretch: int, df: dict[bytes, int], n_ite
             most[t, i // BLOCK] = max(most[t, i // BLOCK], g)
     start = np.cumsum([0, *map(len, post)])
     flat = [p for ps in post for p in ps]
-    return Index(stretch, [i for i, _ in rows], [question_and_answer(t) for _, t in rows], number, start, np.array([i for i, _ in flat], np.int64), np.array([g for _, g in flat]), most)
+    return Index(stretch, [i for i, _ in rows], [question_and_answer(t) for _, t in rows], number, start, array("q", (i for i, _ in flat)), array("d", (g for _, g in flat)), most)
 
 
 def indexes(items: DataFrame, key: str = "item_id", text: str = "text") -> Iterator[Index]:
-    """An index for each pass. Document frequencies and lengths are those of all items."""
+    """The indexes of all items. Document frequencies and lengths are those of all items."""
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,22 +115,81 @@ def indexes(items: DataFrame, key: str = "item_id", text: str = "text") -> Itera
     mean = sum(g["n"] for g in groups) / max(total, 1)
     counts = picked.select("text").mapInArrow(terms, "term binary").groupBy("term").agg(F.count("*").alias("df"))
     for g in groups:
-        passes = -(-g["items"] // ITEMS_PER_PASS)
-        for p in range(passes):
-            here = measured.filter(F.col("stretch") == g["stretch"]).filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p)
-            rows = [(r["item_id"], r["text"]) for r in here.orderBy("item_id", "text").collect()]  # about ITEMS_PER_PASS
+        parts = -(-g["items"] // max(1, min(ITEMS_PER_INDEX, TOKENS_PER_PASS // g["stretch"])))
+        for p in range(parts):
+            here = measured.filter(F.col("stretch") == g["stretch"]).filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p)
+            rows = [(r["item_id"], r["text"]) for r in here.orderBy("item_id", "text").collect()]  # about ITEMS_PER_INDEX
             if rows:
                 own = here.select("text").mapInArrow(terms, "term binary").distinct()
                 df = {bytes(r["term"]): r["df"] for r in counts.join(own, "term").collect()}
                 yield build(rows, g["stretch"], df, total, mean)
 
 
+def passes(items: DataFrame) -> Iterator[list[Index]]:
+    """The indexes in groups that are sent together."""
+    group: list[Index] = []
+    size = 0
+    for index in indexes(items):
+        own = index.stretch * len(index.ids)
+        if group and size + own > TOKENS_PER_PASS:
+            yield group
+            group, size = [], 0
+        group.append(index)
+        size += own
+    if group:
+        yield group
+
+
+def wand(index: Index, terms: np.ndarray, blocks: list[int], threshold: float) -> list[tuple[int, float]]:
+    """Block-max WAND: the items of some blocks (ascending) that score at least the threshold for a passage with these terms, and their scores.
+    Posting lists stand in the order of their next items. The pivot is the first item at which the lists' largest shares in its block, summed in that order, can reach the threshold;
+    lists before it are moved on to it, so what lies between is never scored. Blocks that aren't given are leapt over."""
+    items, shares, out = index.items, index.shares, []
+    at, ends = index.start[terms].tolist(), index.start[terms + 1].tolist()
+    for block in blocks:
+        low, high = block * BLOCK, (block + 1) * BLOCK
+        bounds = index.most[terms, block]
+        lists = []  # next item, place of its posting, end of the list, largest share
+        for j in np.flatnonzero(bounds).tolist():
+            at[j] = bisect_left(items, low, at[j], ends[j])
+            lists.append([items[at[j]], at[j], ends[j], float(bounds[j])])
+        while True:
+            lists.sort()
+            reach, pivot = SLACK, None
+            for item, _, _, bound in lists:
+                reach += bound
+                if reach >= threshold:
+                    pivot = item
+                    break
+            if pivot is None:
+                break
+            whole, got = lists[0][0] == pivot, []
+            for x in lists:
+                if x[0] > pivot or (x[0] == pivot and not whole):
+                    break
+                if whole:
+                    got.append(shares[x[1]])
+                    x[1] += 1
+                else:
+                    x[1] = bisect_left(items, pivot, x[1], x[2])
+                x[0] = items[x[1]] if x[1] < x[2] else high
+            score = math.fsum(got)  # the same in whatever index an item stands
+            if whole and score >= threshold:
+                out.append((pivot, score))
+            lists = [x for x in lists if x[0] < high]
+    return out
+
+
 def search(index: Index, texts: list[str | None], threshold: float, min_overlap: float) -> list[dict[int, tuple[float, float, float]]]:
     """For each text: item (its place in the index) -> score, question and answer share of its best verified passage."""
+    return search_words(index, [tokens(t or "") for t in texts], threshold, min_overlap)
+
+
+def search_words(index: Index, words: list[list[bytes]], threshold: float, min_overlap: float) -> list[dict[int, tuple[float, float, float]]]:
+    """search of texts that are split already."""
     none, vocabulary = len(index.number), len(index.number) + 1
     get = index.number.get
-    words = [tokens(t or "") for t in texts]
-    out: list[dict[int, tuple[float, float, float]]] = [{} for _ in texts]
+    out: list[dict[int, tuple[float, float, float]]] = [{} for _ in words]
     lengths = np.array([len(w) for w in words], np.int64)
     per_text = -(-lengths // index.stretch)
     first = np.r_[0, np.cumsum(per_text)]
@@ -137,37 +201,44 @@ def search(index: Index, texts: list[str | None], threshold: float, min_overlap:
     known = ids != none
     pairs = np.unique(stretch[known] * vocabulary + ids[known])
     at, term = pairs // vocabulary, pairs % vocabulary
-    bound = np.zeros((first[-1] + 1, index.most.shape[1]), np.float32)
-    if len(pairs):
-        starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        bound[at[starts]] = np.add.reduceat(index.most[term], starts, axis=0)
-    bound = bound[:-1] + bound[1:]  # a passage is a stretch and the next
-    follows = np.ones(first[-1], bool)
-    follows[first[1:][per_text > 0] - 1] = False  # the last of a text has no next
-    passage, block = np.nonzero(bound >= threshold - 1e-4)
-    ends = np.searchsorted(at, np.arange(first[-1] + 1))
+    ends = np.searchsorted(at, np.arange(first[-1] + 2))
+    passage, block = _live_blocks(index, at, term, int(first[-1]), threshold)
     blocks_of: dict[int, list[int]] = {}
     for p, b in zip(passage.tolist(), block.tolist(), strict=True):
         blocks_of.setdefault(p, []).append(b)
     text_of = np.searchsorted(first, np.arange(first[-1]), side="right") - 1
     for p, blocks in blocks_of.items():
         t = int(text_of[p])
-        terms = term[ends[p] : ends[p + 1]] if not follows[p] else np.unique(term[ends[p] : ends[p + 2] if p + 2 < len(ends) else len(term)])
-        counts = index.start[terms + 1] - index.start[terms]
-        where = np.repeat(index.start[terms], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        scores = np.bincount(index.items[where], index.shares[where], len(index.ids))
-        hit = np.flatnonzero(scores >= threshold)
-        hit = hit[np.isin(hit // BLOCK, blocks)]
-        if len(hit):
+        terms = np.unique(term[ends[p] : ends[p + (2 if p + 1 < first[t + 1] else 1)]])  # the last stretch of a text has no next
+        hits = wand(index, terms, blocks, threshold)
+        if hits:
             lo = (p - int(first[t])) * index.stretch
             own = trigrams_of(words[t][lo : lo + 2 * index.stretch])
-            for i in hit.tolist():
+            for i, score in hits:
                 q, a = (len(x & own) / len(x) if x else 1.0 for x in index.parts[i])
-                if q >= min_overlap and a >= min_overlap and (float(scores[i]), q, a) > out[t].get(i, (0.0, 0.0, 0.0)):
-                    out[t][i] = (float(scores[i]), q, a)
+                if q >= min_overlap and a >= min_overlap and (score, q, a) > out[t].get(i, (0.0, 0.0, 0.0)):
+                    out[t][i] = (score, q, a)
     return out
 
 
+def _live_blocks(index: Index, at: np.ndarray, term: np.ndarray, n: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a passage (by its first stretch, of n) and a block of items that it can reach the threshold in; at, term: the distinct terms of the stretches.
+    A passage whose terms' largest shares don't add up to the threshold has no pivot in any block, and its blocks aren't looked at."""
+    most = np.bincount(at, index.most.max(axis=1, initial=0)[term], n + 1)
+    open_ = most[:-1] + most[1:] >= threshold - SLACK
+    needed = np.r_[open_, False] | np.r_[False, open_]
+    row = np.cumsum(needed) - 1
+    seen = needed[at]
+    at, term = row[at[seen]], term[seen]
+    bound = np.zeros((int(needed.sum()) + 1, index.most.shape[1]), np.float32)
+    if len(at):
+        starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        bound[at[starts]] = np.add.reduceat(index.most[term], starts, axis=0)
+    rows = np.flatnonzero(open_)
+    which, block = np.nonzero(bound[row[rows]] + bound[row[rows] + 1] >= threshold - SLACK)  # a passage is a stretch and the next
+    return rows[which], block
+
+
 def trigrams_of(words: list[bytes]) -> set[tuple[bytes, ...]]:
     """All runs of one to three tokens."""
     return {tuple(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)}
@@ -190,15 +261,17 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     sc = docs.sparkSession.sparkContext
     picked = docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias("text"))
     out = docs.sparkSession.createDataFrame([], f"{key} long, {LEAK}")
-    for index in indexes(items):
-        shared = sc.broadcast(index)
+    for group in passes(items):
+        shared = sc.broadcast(group)
 
         def rows(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keys, texts, found = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
                 for lo, hi in _batched(texts):
-                    for k, hits in zip(keys[lo:hi], search(shared.value, texts[lo:hi], threshold, min_overlap), strict=True):
-                        found += [(k, shared.value.ids[i], *x) for i, x in sorted(hits.items())]
+                    words = [tokens(t or "") for t in texts[lo:hi]]
+                    for index in shared.value:
+                        for k, hits in zip(keys[lo:hi], search_words(index, words, threshold, min_overlap), strict=True):
+                            found += [(k, index.ids[i], *x) for i, x in sorted(hits.items())]
                 cols = list(zip(*found, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.float64()) for c in cols[2:])], [key, "item_id", "score", "question", "answer"])
 
@@ -210,14 +283,18 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", threshold: floa
     """The rows of docs that hold no item, with all their columns. Nothing is shuffled."""
     sc, columns = docs.sparkSession.sparkContext, docs.columns
     rest = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(text).cast("string").alias("text"))
-    for index in indexes(items):
-        shared = sc.broadcast(index)
+    for group in passes(items):
+        shared = sc.broadcast(group)
 
         def rows(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 texts = batch.column("text").to_pylist()
-                kept = [not hits for lo, hi in _batched(texts) for hits in search(shared.value, texts[lo:hi], threshold, min_overlap)]
-                yield batch.filter(pa.array(kept, pa.bool_()))
+                kept = np.ones(len(texts), bool)
+                for lo, hi in _batched(texts):
+                    words = [tokens(t or "") for t in texts[lo:hi]]
+                    for index in shared.value:
+                        kept[lo:hi] &= [not hits for hits in search_words(index, words, threshold, min_overlap)]
+                yield batch.filter(pa.array(kept))
 
         rest = rest.mapInArrow(rows, rest.schema)
     return rest.select("row.*")
