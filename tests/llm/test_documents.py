@@ -209,6 +209,21 @@ def test_decontamination(spark):
     assert decontaminate.leaks(docs.limit(0), bench).count() == 0
 
 
+def test_several_indexes_and_passes(spark, monkeypatch):
+    """Items in many indexes, sent in several passes, are found as they are by one."""
+    r = random.Random(11)
+    items = [(i, f"{sentence(r, r.choice([6, 30, 70]), 3000)}. {sentence(r, 8, 3000)}.") for i in range(40)]
+    docs = table(spark, [(i, f"{sentence(r, 90)} {items[i][1]} {sentence(r, 40)}" if i < 40 else sentence(r, 300), "s") for i in range(60)])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(map(tuple, decontaminate.leaks(docs, bench).collect()))
+    assert {(x[0], x[1]) for x in want} >= {(i, i) for i in range(40)}
+    monkeypatch.setattr(decontaminate, "ITEMS_PER_INDEX", 8)
+    monkeypatch.setattr(decontaminate, "TOKENS_PER_PASS", 1024)
+    assert len(list(decontaminate.passes(bench))) > 2
+    assert sorted(map(tuple, decontaminate.leaks(docs, bench).collect())) == [tuple(x) for x in want]
+    assert sorted(x["doc_id"] for x in decontaminate.clean(docs, bench).collect()) == sorted(set(range(60)) - {x[0] for x in want})
+
+
 def test_block_bounds_lose_nothing():
     """Against scoring every item for every passage."""
     r = random.Random(8)

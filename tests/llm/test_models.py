@@ -65,6 +65,57 @@ def test_forward_sums_all_segmentations():
         assert alpha[len(w), i] == pytest.approx([brute(w, 0), brute(w, 1)])
 
 
+@pytest.mark.parametrize("word", ["a", "abab", "abcabaab", "bbaabaabc"])
+def test_long_words_sum_all_segmentations(word):
+    """Sums and expected counts against listing all segmentations, side by side and in logarithms."""
+    vocabulary = {"a": 0, "b": 1, "ab": 2, "ba": 3, "aba": 4}
+    prob = np.array([[0.3, 0.1], [0.2, 0.2], [0.1, 0.3], [0.1, 0.1], [0.2, 0.2], [0.1, 0.1]])
+    table_ = pieces.PieceTable(vocabulary)
+
+    def all_ways(w):
+        if not w:
+            return [[]]
+        return [[vocabulary.get(w[:k], 5), *rest] for k in range(1, min(3, len(w)) + 1) if w[:k] in vocabulary or k == 1 for rest in all_ways(w[k:])]
+
+    total, counts = np.zeros(2), np.zeros_like(prob)
+    for way in all_ways(word):
+        p = prob[way].prod(axis=0)
+        total += p
+        for i in way:
+            counts[i] += p
+    counts *= np.array([2.0, 5.0]) / total
+    assert np.exp(pieces.log_forward(word, table_, np.log(prob))) == pytest.approx(total)
+    assert pieces.long_word_counts(word, table_, np.array([2.0, 5.0]), prob) == pytest.approx(counts)
+    assert pieces.expected_counts(pieces.lattice([word], table_), np.array([len(word)]), np.array([[2.0, 5.0]]), prob) == pytest.approx(counts)
+
+
+def test_long_word_does_not_underflow():
+    vocabulary = {"a": 0, "aa": 1}
+    table_, prob = pieces.PieceTable(vocabulary), np.array([[0.01], [0.0001], [0.1]])
+    got = pieces.log_forward("a" * 5000, table_, np.log(prob))[0]
+    ways = [1, 1]  # each segmentation has probability 0.01 ** 5000
+    for _ in range(4999):
+        ways.append(ways[-1] + ways[-2])
+    assert got == pytest.approx(math.log(ways[5000]) + 5000 * math.log(0.01))
+
+
+def test_posterior_of_texts():
+    """The posterior of a text against products over the sums of its words, with words beyond SIDE_BY_SIDE."""
+    vocabulary = {"▁": 0, "a": 1, "b": 2, "ab": 3}
+    prob = np.array([[0.4, 0.3], [0.2, 0.1], [0.1, 0.3], [0.2, 0.2], [0.1, 0.1]])
+    scorer = language.Scorer(language.Languages(["x", "y"], prob, np.log([0.5, 0.5])), vocabulary)
+    text = "ab " + "ab" * 30 + " c ab"
+
+    def total(w, m):
+        best = [1.0]
+        for end in range(1, len(w) + 1):
+            best.append(sum(best[s] * prob[vocabulary.get(w[s:end], 4), m] for s in range(max(0, end - 2), end) if w[s:end] in vocabulary or end - s == 1))
+        return math.log(best[-1])
+
+    want = [sum(total(w, m) for w in language.parts(text)) + math.log(0.5) for m in (0, 1)]
+    assert scorer.score([text])[0] == pytest.approx(want)
+
+
 def brute_tokens(word: bytes, vocabulary: dict[str, int]) -> tuple[int, float]:
     text, worst = tokens.MARK + word.decode("utf-8", "replace"), -math.log(len(vocabulary) + 1)
     best = [(0.0, 0)]
@@ -96,6 +147,21 @@ def test_trie_is_begun_anew_without_effect():
         assert small.tokens[a].tolist() == large.tokens[b].tolist() == [brute_tokens(w, vocabulary)[0] for w in words]
 
 
+def test_trie_is_kept_over_batches():
+    """A prefix is scored once, whichever batch brings it; words that leave the trie go on from its nodes."""
+    vocabulary, trie = pieces.vocabulary(), tokens.Trie(pieces.vocabulary())
+    batches = [[b"one", b"onerous"], [b"ones", b"onerous", b"oner"], [b"onerousness", b"two"], [b"house" * 150, b"house" * 150 + b"s", b"house" * 20], ["日本語".encode() * 300]]
+    prefixes = set()
+    for words in batches:
+        at = trie.look_up([words])[0]
+        assert trie.tokens[at].tolist() == [brute_tokens(w, vocabulary)[0] for w in words]
+        assert trie.score[at].tolist() == pytest.approx([brute_tokens(w, vocabulary)[1] for w in words])
+        for w in words:
+            text = (tokens.MARK + w.decode())[: tokens.DEPTH]
+            prefixes |= {text[:n] for n in range(1, len(text) + 1)}
+        assert trie.nodes_scored == len(prefixes) == sum(len(level[0]) for level in trie.levels)
+
+
 def test_terminal_counts(spark):
     out = {r["pretoken"]: (r["n"], r["n_tokens"]) for r in tokens.pretoken_counts(table(spark, [(1, "a b a", ""), (2, "a house", "")])).collect()}
     assert {k: n for k, (n, _) in out.items()} == {"a": 3, "b": 1, "house": 1}
