@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from suffixspark.llm import decontaminate, jaccard, language, licenses, lines, maxent, mixing, tokens, topk, warc
+from suffixspark.llm import alignment, decontaminate, jaccard, language, licenses, lines, maxent, mixing, tokens, topk, warc
 
 
 def documents(spark, sf_dir):
@@ -83,7 +83,12 @@ def op10_exact_topk(spark, sf_dir):
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0, 5)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_sentences, op2_warc_chunks, op3_source_mix, op4_token_counts, op5_line_dedup, op6_decontamination, op7_maxent_scores, op8_language_id, op9_jaccard_join, op10_exact_topk)}
+def op11_token_alignment(spark, sf_dir):
+    out = alignment.align(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("row.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_license_sentences, op2_warc_chunks, op3_source_mix, op4_token_counts, op5_line_dedup, op6_decontamination, op7_maxent_scores, op8_language_id, op9_jaccard_join, op10_exact_topk, op11_token_alignment)}
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
