@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from suffixspark.llm import alignment, decontaminate, jaccard, language, licenses, lines, maxent, mixing, tokens, topk, warc
+from suffixspark.llm import alignment, decontaminate, jaccard, language, licenses, lines, maxent, mixing, phrases, tokens, topk, warc
 
 
 def documents(spark, sf_dir):
@@ -88,7 +88,11 @@ def op11_token_alignment(spark, sf_dir):
     return out.select("row.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_sentences, op2_warc_chunks, op3_source_mix, op4_token_counts, op5_line_dedup, op6_decontamination, op7_maxent_scores, op8_language_id, op9_jaccard_join, op10_exact_topk, op11_token_alignment)}
+def op13_phrase_collocations(spark, sf_dir):
+    return phrases.collocations(documents(spark, sf_dir).select("lang", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_sentences, op2_warc_chunks, op3_source_mix, op4_token_counts, op5_line_dedup, op6_decontamination, op7_maxent_scores, op8_language_id, op9_jaccard_join, op10_exact_topk, op11_token_alignment, op13_phrase_collocations)}
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -114,4 +118,20 @@ ORACLES = {
                    where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
         s as (select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id)
         select query_id, rank::int as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 5""",
+    "op13_phrase_collocations": """
+        with p as (select coalesce(lang, 'und') as lang, doc_id, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as piece from documents),
+        w as (select lang, row_number() over () as piece, list_filter(string_split_regex(piece, '[ \\t]+'), lambda x: x <> '') as w from p),
+        t as (select lang, piece, unnest(w) as w1, unnest(range(len(w))) as pos from w),
+        l as (select lang, w1, lead(w1, 1) over o as w2, lead(w1, 2) over o as w3 from t window o as (partition by piece order by pos)),
+        n as (select lang, count(*) as n from l group by 1),
+        g as (select lang, 1 as k, w1 as phrase from l union all select lang, 2, w1 || ' ' || w2 from l where w2 is not null union all select lang, 3, w1 || ' ' || w2 || ' ' || w3 from l where w3 is not null),
+        f as (select lang, k, phrase, count(*) as f from g group by all),
+        c as (select lang, k, phrase, f as a, string_split(phrase, ' ') as w from f where k > 1 and f >= 10),
+        x as (select *, unnest(range(1, k)) as cut from c),
+        s as (select x.lang, x.k, x.phrase, a, cut, p.f as l, q.f as r, (1000000::hugeint * a * a // (p.f::hugeint * q.f))::bigint as score
+              from x join f p on p.lang = x.lang and p.phrase = array_to_string(w[1 : cut], ' ') join f q on q.lang = x.lang and q.phrase = array_to_string(w[cut + 1 : x.k], ' ')),
+        lo as (select * from s qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+        longer as (select lang, phrase, max(a) as longest from (select lang, a, unnest([array_to_string(w[1 : 2], ' '), array_to_string(w[2 : 3], ' ')]) as phrase from c where k = 3) group by 1, 2),
+        kept as (select lo.* from lo left join longer using (lang, phrase) where longest is null or 100 * longest < 50 * a)
+        select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score from kept join n using (lang) qualify rank <= 2000""",
 }
