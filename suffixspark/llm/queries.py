@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from suffixspark.llm import alignment, decontaminate, jaccard, language, licenses, lines, maxent, mixing, phrases, tokens, topk, warc
+from suffixspark.llm import alignment, decontaminate, divergence, jaccard, language, licenses, lines, maxent, mixing, phrases, tokens, topk, warc
 
 
 def documents(spark, sf_dir):
@@ -88,11 +88,52 @@ def op11_token_alignment(spark, sf_dir):
     return out.select("row.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+def op12_quality_divergence(spark, sf_dir):
+    out = divergence.rules(documents(spark, sf_dir).select("doc_id", "text", "lang"))
+    return out.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op13_phrase_collocations(spark, sf_dir):
     return phrases.collocations(documents(spark, sf_dir).select("lang", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_sentences, op2_warc_chunks, op3_source_mix, op4_token_counts, op5_line_dedup, op6_decontamination, op7_maxent_scores, op8_language_id, op9_jaccard_join, op10_exact_topk, op11_token_alignment, op13_phrase_collocations)}
+QUERIES = {f.__name__: f for f in (op1_license_sentences, op2_warc_chunks, op3_source_mix, op4_token_counts, op5_line_dedup, op6_decontamination, op7_maxent_scores, op8_language_id, op9_jaccard_join, op10_exact_topk, op11_token_alignment, op12_quality_divergence, op13_phrase_collocations)}
+
+def _divergence_sql() -> str:
+    sizes = []
+    for i, (name, pattern) in enumerate(divergence.CLASSES.items()):
+        quoted = pattern.replace("'", "''")
+        sizes.append((name, f"regexp_replace(t{i}, '{quoted}', '', 'g') as t{i + 1}", f"length(t{i}) - length(t{i + 1}) as n_{name}"))
+    steps = ", ".join(f"s{i + 1} as (select *, {step} from s{i})" for i, (_, step, _) in enumerate(sizes))
+    chars = ", ".join([f"n_{name}" for name in divergence.CLASSES if name != "space"] + [f"length(t{len(sizes)})"])
+    half = lambda x, y: f"case when {x} > 0 then {x} * log2({x} / (({x} + {y}) / 2)) else 0 end"
+    distance = lambda p, q: f"sqrt(greatest(0.0, list_sum(list_transform(list_zip({p}, {q}), lambda z: ({half('z[1]', 'z[2]')} + {half('z[2]', 'z[1]')}) / 2))))"
+    return f"""
+        with s0 as (select doc_id, lang as lang_of, coalesce(text, '') as t0 from documents), {steps},
+        m as (select doc_id, lang_of, t0, t{len(sizes)}, {", ".join(x for _, _, x in sizes)} from s{len(sizes)}),
+        d as (select doc_id, lang_of, [{chars}] as chars, n_symbol as n_symbols, list_filter(regexp_split_to_array(t0, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w,
+              list_filter(string_split(t0, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines from m),
+        e as (select *, row_number() over () as id, len(w) as n_words, list_sum(chars) as word_chars from d),
+        t as (select id, lang_of, unnest(w) as word, unnest(range(len(w))) as pos from e),
+        l as (select id, pos, word || ' ' || lead(word, 1) over o || ' ' || lead(word, 2) over o as win from t window o as (partition by id order by pos)),
+        r as (select id, pos from l where win is not null qualify count(*) over (partition by id, win) > 1),
+        rep as (select id, count(distinct pos + k)::bigint as n_repeat_words from r, (values (0), (1), (2)) as ks(k) group by 1),
+        pooled as (select lang_of as ref, word from t where lang_of is not null union all select '*', word from t),
+        tot as (select ref, count(*) as total from pooled group by 1),
+        often as (select ref, word, count(*) as n, any_value(total) as total from pooled join tot using (ref) group by 1, 2 having count(*) >= {divergence.COMMON} * any_value(total)),
+        refs as (select tot.ref, tot.total, coalesce(list(word order by word) filter (word is not null), []) as words,
+                 list_append(coalesce(list(n / often.total order by word) filter (word is not null), []), (tot.total - coalesce(sum(n), 0)) / tot.total) as word_p from tot left join often using (ref) group by 1, 2),
+        ch as (select ref, list(s / whole order by i) as char_p from (select ref, i, sum(c) as s, sum(sum(c)) over (partition by ref) as whole
+               from (select unnest(case when lang_of is null then ['*'] else [lang_of, '*'] end) as ref, chars from e) as z, lateral (select unnest(z.chars) as c, unnest(range(len(z.chars))) as i) group by 1, 2) group by 1),
+        known as (select * from refs join ch using (ref)),
+        j as (select e.*, coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(a.words, b.words) as words, coalesce(a.word_p, b.word_p) as word_p, coalesce(a.char_p, b.char_p) as char_p
+              from e left join rep using (id) left join known a on a.ref = lang_of and a.ref <> '*' and a.total >= {divergence.MIN_REFERENCE} left join known b on b.ref = '*'),
+        f as (select *, list_transform(words, lambda x: len(list_filter(w, lambda y: y = x))) as found from j),
+        v as (select *, {distance("list_transform(list_append(found, n_words - coalesce(list_sum(found), 0)), lambda x: x / n_words)", "word_p")} as far_words,
+              {distance("list_transform(chars, lambda x: x / word_chars)", "char_p")} as far_chars from f)
+        select doc_id, n_words, word_chars::bigint as word_chars, n_symbols, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+        not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and not (word_chars >= {divergence.MIN_CHARS} and far_chars > {divergence.MOST_CHARS}) and not (n_words >= {divergence.MIN_WORDS} and far_words > {divergence.MOST_WORDS}) as kept from v"""
+
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -118,6 +159,7 @@ ORACLES = {
                    where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
         s as (select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id)
         select query_id, rank::int as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 5""",
+    "op12_quality_divergence": _divergence_sql(),
     "op13_phrase_collocations": """
         with p as (select coalesce(lang, 'und') as lang, doc_id, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as piece from documents),
         w as (select lang, row_number() over () as piece, list_filter(string_split_regex(piece, '[ \\t]+'), lambda x: x <> '') as w from p),
