@@ -131,12 +131,13 @@ def _mapped(docs: DataFrame, make, schema: str) -> DataFrame:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, class."""
+    """doc_id, n_shingles, class, and t, a hash of the text that tells apart rows of one id (or without one)."""
 
     def make(batch: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64())], ["doc_id", "n_shingles", "class"])
+        columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()), batch.column("t")]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "class", "t"])
 
-    return _mapped(docs, make, "doc_id long, n_shingles long, class long")
+    return _mapped(docs.withColumn("t", F.xxhash64("text")), make, "doc_id long, n_shingles long, class long, t long")
 
 
 def _flat(sets: list[np.ndarray], parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -162,7 +163,7 @@ def candidates(docs: DataFrame, classes: DataFrame) -> DataFrame:
     shared = cut(at.groupBy("s").agg(F.min(tag).alias("a"), F.max(tag).alias("b"), F.count("*").alias("rows")).filter("a <> b").select("s", "rows"))
     hits = meet(at, shared, "s").groupBy("class").agg(F.count("*").alias("hits"))
     least = wider_col(need_col(F.col("n")))
-    return hits.join(classes, "class").filter(F.col("hits") >= least * F.col("copies")).select("class", "first", "n")
+    return hits.join(classes, "class").filter(F.col("hits") >= least * F.col("copies")).select("class", "first", "t", "n")
 
 
 def meet(rows: DataFrame, table: DataFrame, key: str, sent: int | None = None, how: str = "inner") -> DataFrame:
@@ -185,10 +186,10 @@ def wider_col(n: Column) -> Column:
 
 
 def shingles_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """class, s: the shingles of the wanted classes, from the document with the smallest id; from each row, if that is repeated."""
+    """class, s: the shingles of the wanted classes, from the document with the smallest id; from each row, if that and its text are repeated."""
     few = wanted.count() <= SENT_ROWS
-    pick = wanted.select(F.col("class").alias("want"), F.col("first"))
-    rows = docs.join(F.broadcast(pick) if few else pick, F.col("doc_id").eqNullSafe(F.col("first")))
+    pick = wanted.select(F.col("class").alias("want"), F.col("first"), F.col("t").alias("of"))
+    rows = docs.withColumn("t", F.xxhash64("text")).join(F.broadcast(pick) if few else pick, F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("t") == F.col("of")))
 
     def make(batch: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
         kept = [s for s, w in zip(sets, batch.column("want").to_pylist(), strict=True) if class_of(s) == w]  # an id may have several texts
@@ -427,7 +428,9 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.encode(F.coalesce(F.col(text).cast("string"), F.lit("")), "UTF-8").alias("text"))
     each = cut(described(own))
     n = each.count()
-    classes = cut(each.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n"), F.count("*").alias("copies")), n)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("least")
+    classes = each.filter("n_shingles > 0").groupBy("class").agg(least, F.max("n_shingles").alias("n"), F.count("*").alias("copies"))
+    classes = cut(classes.select("class", F.col("least.doc_id").alias("first"), F.col("least.t").alias("t"), "n", "copies"), n)
     wanted = cut(candidates(own, classes), n)
     named = each.join(wanted.select("class", "first"), "class").filter(F.col("doc_id").eqNullSafe(F.col("first")))
     repeated = named.count() > wanted.count()  # rows that repeat an id and its text

@@ -27,12 +27,12 @@ from suffixspark.session import cut
 
 #: Share of the documents that the sample holds, as 1 / so many. It decides how much is counted in which pass, not what is found.
 ONE_IN = 4
-#: A set of bits has 2 to the power of at least and at most this: it is sent to all tasks, one of 2 ** 29 bits is 64 MB.
-LEAST_BITS, MOST_BITS = 20, 29
+#: A set of bits has 2 to the power of at least and at most this: it goes through the driver to all tasks, one of 2 ** 27 bits is 16 MB. The driver gets it in blocks of so many words.
+LEAST_BITS, MOST_BITS, BLOCK = 20, 27, 4096
 #: Texts whose phrases are added up together: until their bytes are this many.
-BYTES_AT_ONCE = 12 << 20
+BYTES_AT_ONCE = 6 << 20
 #: Counts of phrases are sent to the tasks up to this many rows; more are joined.
-SENT_ROWS = 500_000
+SENT_ROWS = 200_000
 UNKNOWN = "und"
 #: The score of a cut. Counts have at most 16 digits, so that 10^6 a a and l r have at most 38 and are exact.
 EXACT = "cast(cast(cast(a as decimal(16,0)) * cast(a as decimal(16,0)) as decimal(32,0)) * cast(1000000 as decimal(7,0)) as decimal(38,0)) div (cast(l as decimal(16,0)) * cast(r as decimal(16,0)))"
@@ -77,7 +77,7 @@ class Bits:
 
 def _bits_of(phrases: DataFrame, rows: int) -> Bits:
     """The set of the given phrases (lang, phrase; `rows` rows, all of as many words). Tasks make the hashes; the driver gets a bounded number of words of bits."""
-    power = min(MOST_BITS, max(LEAST_BITS, (16 * max(rows, 1)).bit_length()))
+    power = min(MOST_BITS, max(LEAST_BITS, (8 * max(rows, 1)).bit_length()))
 
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -89,9 +89,16 @@ def _bits_of(phrases: DataFrame, rows: int) -> Bits:
             at = out >> np.uint64(64 - power)
             yield pd.DataFrame({"word": (at >> np.uint64(6)).astype(np.int64), "bit": (at & np.uint64(63)).astype(np.int32)})
 
-    found = phrases.select("lang", "phrase").mapInPandas(places, "word long, bit int").groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toPandas()
-    words = np.zeros(1 << (power - 6), np.uint64)
-    words[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        words = np.zeros(BLOCK, np.int64)
+        words[pdf["word"].to_numpy(np.int64) % BLOCK] = pdf["bits"].to_numpy(np.int64)
+        return pd.DataFrame({"block": pdf["word"].iloc[:1] // BLOCK, "words": [words.tobytes()]})
+
+    set_words = phrases.select("lang", "phrase").mapInPandas(places, "word long, bit int").groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    blocks = set_words.groupBy(F.expr(f"word div {BLOCK}L").alias("block")).applyInPandas(block, "block long, words binary")  # a group has at most BLOCK rows
+    words = np.zeros(max(BLOCK, 1 << (power - 6)), np.uint64)
+    for r in blocks.collect():  # a set of bits, of a bounded size
+        words[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["words"], np.uint64)
     return Bits(power, words)
 
 
