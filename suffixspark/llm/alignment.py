@@ -12,10 +12,13 @@ Null and empty texts, and those whose A or B bytes differ from the space and the
 An empty table gives an empty result. Texts of any length are encoded whole. Columns of any name can be carried: they stay inside `row`."""
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,11 @@ MAX_UNITS, MAX_CHARS = 200_000, 16 << 20
 TEXTS_AT_ONCE, CHARS_AT_ONCE = 1024, 4 << 20
 #: White space around a space: the split of such a run depends on more than the unit.
 ODD = re.compile(r"\s (?=\s)|  | $")
+#: Units of these characters are encoded so many at once: printable ASCII and Latin letters, no white space.
+TOGETHER = 256
+PLAIN = re.compile("[!-~\u00c0-\u017f]+")
+#: Fixed value: how a byte-level vocabulary cuts texts before it merges bytes.
+WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 RESULT = "n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
@@ -58,21 +66,63 @@ class Tokenizers:
         self.a.no_truncation()
         self.a.no_padding()
         byte = byte_of_character()
-        self.a_bytes = {i: bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
+        names = sorted(self.a.get_vocab().items(), key=lambda x: x[1])
+        a_bytes = [bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode() for t, _ in names]
+        if [i for _, i in names] != list(range(len(names))):
+            raise ValueError(f"ids of {byte_bpe} have gaps")
         self.b = SentencePieceProcessor(model_file=piece_bpe)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError(f"pieces of {piece_bpe} go across a space: texts can't be cut into units")
-
-    def encode(self, units: list[str]) -> list[tuple[list[int], list[int]] | None]:
-        """The ids of A and B for a space and each unit (B adds it); None where the bytes of either differ from it."""
-        out = []
-        for unit, a, b in zip(units, self.a.encode_batch([" " + u for u in units], add_special_tokens=False), self.b.encode(units, num_threads=1), strict=True):
-            whole, ids = b" " + unit.encode(), a.ids
-            same = b"".join([self.a_bytes[i] for i in ids]) == whole and b"".join([self.b_bytes[i] for i in b]) == whole
-            out.append((ids, b) if same else None)
-        return out
+        self.bytes = a_bytes, b_bytes
+        self.lengths = tuple(np.array([len(x) for x in of], np.int64) for of in self.bytes)
+        self.by_rank = self._by_rank(json.loads(Path(byte_bpe).read_text()))
+
+    def _by_rank(self, file: dict):
+        """The same BPE by ranks of tokens, which is faster, or None. It is the same if ids follow the order of the merges, each merge has its own result, and each token is what its own bytes
+        are merged to: two tokens that stand side by side and make a token are then the two that its merge names, as within these bytes all was merged as it is when they stand alone."""
+        import tiktoken
+
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in file["model"]["merges"]]
+        pre = file.get("pre_tokenizer") or {}
+        if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or file.get("normalizer"):
+            return None
+        vocabulary, first = file["model"]["vocab"], 256
+        if [vocabulary.get(a + b) for a, b in merges] != list(range(first, first + len(merges))):
+            return None
+        ranks = {self.bytes[0][i]: i for i in range(first + len(merges))}
+        out = tiktoken.Encoding("ranks", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+        plain = [t for t, i in vocabulary.items() if first <= i < first + len(merges) and PLAIN.fullmatch(self.bytes[0][i].decode("utf-8", "replace"))]
+        texts = [self.bytes[0][vocabulary[t]].decode() for t in plain]
+        alone = self.a.encode_batch(texts, add_special_tokens=False)
+        return out if all(x.ids == [vocabulary[t]] for t, x in zip(plain, alone, strict=True) if len(x.ids) == 1 or len(self.a.pre_tokenizer.pre_tokenize_str(self.bytes[0][vocabulary[t]].decode())) == 1) else None
+
+    def encode(self, units: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+        """For A and B the ids of the tokens of all units, each with a space before it, in turn, and the unit of each token; then which units have tokens: all but those where the bytes of A or B
+        differ from the space and the unit."""
+        plain = [i for i, u in enumerate(units) if self.by_rank and PLAIN.fullmatch(u)]
+        joined = [" ".join([units[i] for i in plain[lo : lo + TOGETHER]]) for lo in range(0, len(plain), TOGETHER)]
+        side = [np.array(list(chain.from_iterable(x)), np.int64) for x in ([self.by_rank.encode_ordinary(" " + t) for t in joined], self.b.encode(joined, num_threads=1))]
+        whole = "".join([" " + t for t in joined]).encode()
+        if not all(b"".join([of[i] for i in ids.tolist()]) == whole for of, ids in zip(self.bytes, side, strict=True)):
+            plain, side = [], (np.zeros(0, np.int64),) * 2
+        ends = np.cumsum([len(units[i].encode()) + 1 for i in plain])
+        taken = set(plain)
+        rest = [i for i in range(len(units)) if i not in taken]
+        texts = [units[i] for i in rest]
+        ok, found = np.ones(len(units), bool), []
+        a = [x.ids for x in self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+        b = self.b.encode(texts, num_threads=1)
+        for k, i in enumerate(rest):
+            ok[i] = all(b"".join([of[x] for x in ids]) == b" " + texts[k].encode() for of, ids in zip(self.bytes, (a[k], b[k]), strict=True))
+        for ids, lengths, others in zip(side, self.lengths, (a, b), strict=True):
+            start = np.cumsum(lengths[ids]) - lengths[ids]
+            unit = np.array(plain, np.int64)[np.searchsorted(ends, start, "right")] if plain else np.zeros(0, np.int64)
+            kept = [(i, x) for i, x in zip(rest, others, strict=True) if ok[i]]
+            ids = np.concatenate([ids, *(np.array(x, np.int64) for _, x in kept)])
+            found.append((ids, np.concatenate([unit, np.repeat(np.array([i for i, _ in kept], np.int64), [len(x) for _, x in kept])])))
+        return found, ok
 
 
 @lru_cache(maxsize=1)
@@ -92,6 +142,11 @@ def coalesce(start: np.ndarray, end: np.ndarray, kind: np.ndarray) -> tuple[np.n
     return order, np.cumsum(breaks) - 1, last_of_start
 
 
+@lru_cache(maxsize=1 << 18)
+def _marked(x: int) -> str:
+    return f"{x // 3}{',|;'[x % 3]}"
+
+
 class Units:
     """Different units of texts, each aligned once. Numbers are dense; a unit without tokens (its bytes differ) has ok false."""
 
@@ -104,21 +159,15 @@ class Units:
         self.links = np.zeros(0, np.int64)  # a << 32 | b
 
     def add(self, units: set[str]) -> None:
-        new = sorted(units - self.number.keys())
+        new = list(units - self.number.keys())
         if not new:
             return
         self.number |= {u: len(self.number) + i for i, u in enumerate(new)}
         self.chars += sum(map(len, new))
-        found = self.tokenizers.encode(new)
-        ids, lengths, kinds, unit = [], [], [], []
-        for kind, of in ((0, self.tokenizers.a_bytes), (1, self.tokenizers.b_bytes)):
-            for i, pair in enumerate(found):
-                if pair:
-                    ids += pair[kind]
-                    lengths += [len(of[x]) for x in pair[kind]]
-                    unit += [i] * len(pair[kind])
-            kinds += [kind] * (len(ids) - len(kinds))
-        ids, lengths, kinds, unit = (np.array(x, np.int64) for x in (ids, lengths, kinds, unit))
+        found, ok = self.tokenizers.encode(new)
+        ids, unit = (np.concatenate([side[k] for side in found]) for k in (0, 1))
+        kinds = np.repeat(np.arange(2), [len(side[0]) for side in found])
+        lengths = np.concatenate([of[side[0]] for of, side in zip(self.tokenizers.lengths, found, strict=True)])
         end = np.concatenate([np.cumsum(lengths[kinds == k]) for k in (0, 1)])  # both cover the bytes of all units, one after the other
         order, group, linked = coalesce(end - lengths, end, kinds)
         ids, kinds, unit = ids[order], kinds[order], unit[order]
@@ -129,9 +178,10 @@ class Units:
         counts = np.stack([np.bincount(unit[kinds == 0], minlength=n), np.bincount(unit[kinds == 1], minlength=n), np.bincount(of_group, minlength=n)], 1)
         self.groups += self._texts(ids, kinds, unit, group, n)
         self.counts = np.concatenate([self.counts, counts])
-        self.ok = np.concatenate([self.ok, np.array([x is not None for x in found], bool)])
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.bincount(unit[linked], minlength=n))])
-        self.links = np.concatenate([self.links, links])
+        self.ok = np.concatenate([self.ok, ok])
+        of_link = unit[linked]
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.bincount(of_link, minlength=n))])
+        self.links = np.concatenate([self.links, links[np.argsort(of_link, kind="stable")]])
 
     @staticmethod
     def _texts(ids: np.ndarray, kinds: np.ndarray, unit: np.ndarray, group: np.ndarray, n: int) -> list[str]:
@@ -140,10 +190,14 @@ class Units:
         k, g = kinds[order], group[order]
         last = np.ones(len(order), bool)
         last[:-1] = (g[1:] != g[:-1]) | (k[1:] != k[:-1])
-        mark = np.where(last, np.where(k == 0, 1, 2), 0).tolist()
-        parts = [f"{i}{',|;'[m]}" for i, m in zip(ids[order].tolist(), mark, strict=True)]
-        ends = np.cumsum(np.bincount(unit, minlength=n)).tolist()
-        return ["".join(parts[a:b])[:-1] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        mark = np.where(last, np.where(k == 0, 1, 2), 0)
+        parts = list(map(_marked, (ids[order] * 3 + mark).tolist()))
+        of, first = np.unique(unit[order], return_index=True)  # tokens of a unit stand together
+        begin = np.sort(first)
+        texts = [""] * n
+        for u, a, b in zip(unit[order][begin].tolist(), begin.tolist(), np.append(begin, len(parts))[1:].tolist(), strict=True):
+            texts[u] = "".join(parts[a:b])[:-1]
+        return texts
 
     def flat(self, numbers: np.ndarray) -> np.ndarray:
         """The places of the links of these units, one after the other."""

@@ -30,7 +30,7 @@ ONE_IN = 4
 #: A set of bits has 2 to the power of at least and at most this: it goes through the driver to all tasks, one of 2 ** 27 bits is 16 MB. The driver gets it in blocks of so many words.
 LEAST_BITS, MOST_BITS, BLOCK = 20, 27, 4096
 #: Texts whose phrases are added up together: until their bytes are this many.
-BYTES_AT_ONCE = 6 << 20
+BYTES_AT_ONCE = 3 << 20
 #: Counts of phrases are sent to the tasks up to this many rows; more are joined.
 SENT_ROWS = 200_000
 UNKNOWN = "und"
@@ -202,6 +202,7 @@ def _counts(docs: DataFrame, proposed: tuple[Bits, Bits] | None, before: list[tu
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         proposed, before = shared.value
+        pa.set_memory_pool(pa.system_memory_pool())  # which gives memory back at once
         for batch in batches:
             for lang, text in _portions(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
                 for k, phrases, n, known in _phrases(lang, text, proposed, before, n_words):

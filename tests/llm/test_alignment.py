@@ -36,8 +36,8 @@ def whole(both, text):
         return [], []
     a = both.a.encode(" " + text, add_special_tokens=False).ids
     b = both.b.encode(text)
-    same = b"".join(both.a_bytes[i] for i in a) == b"".join(both.b_bytes[i] for i in b) == b" " + text.encode()
-    return (ranges(a, both.a_bytes), ranges(b, both.b_bytes)) if same else ([], [])
+    same = b"".join(both.bytes[0][i] for i in a) == b"".join(both.bytes[1][i] for i in b) == b" " + text.encode()
+    return (ranges(a, both.bytes[0]), ranges(b, both.bytes[1])) if same else ([], [])
 
 
 def brute(both, rows):
