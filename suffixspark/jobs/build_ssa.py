@@ -4,31 +4,47 @@ import argparse
 import logging
 import time
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from suffixspark.operators.compress import compress, header
-from suffixspark.operators.suffix_sort import full_then_sample, sparse_suffix_array
+from suffixspark.operators.suffix_sort import KERNEL_BYTES, full_then_sample, sort_chunks, sort_chunks_then_sample, sparse_suffix_array
+from suffixspark.session import cut
+from suffixspark.sources.chunks import CHUNK, file_chunks, files_at
 from suffixspark.sources.ssa_file import write_ssa
-from suffixspark.sources.texts import read_files, sized
 
 log = logging.getLogger(__name__)
 
 
-def build(spark: SparkSession, source: str, target: str, s: int, compressed: bool = False, optimized: bool = True, plan: str = "auto") -> None:
+def sorted_file(spark: SparkSession, source: str, n_bytes: int, s: int, optimized: bool, plan: str, kernel_bytes: int) -> DataFrame:
+    """rank, pos. A file that one task can hold is a row, a longer one is sorted from its chunks and no task holds it."""
+    if plan == "doubling" or plan == "auto" and n_bytes > kernel_bytes:
+        chunks = file_chunks(spark, source, CHUNK, max(62, s)).drop("path")
+        return sort_chunks(chunks, s) if optimized else sort_chunks_then_sample(chunks, s)
+    text = file_chunks(spark, source, max(n_bytes, 1), 0).select("content")
+    return sparse_suffix_array(text, s, plan, kernel_bytes) if optimized else full_then_sample(text, s, plan, kernel_bytes)
+
+
+def build(spark: SparkSession, source: str, target: str, s: int, compressed: bool = False, optimized: bool = True, plan: str = "auto", kernel_bytes: int = KERNEL_BYTES) -> None:
+    """Write the suffix array of one file. Seconds of finding the text, of building and of writing are logged."""
     if not 1 <= s <= 255:
         raise ValueError("the file format holds the sparseness in one byte: 1 to 255")
     began = time.monotonic()
-    text = read_files(spark, source)
-    sa = (sparse_suffix_array if optimized else full_then_sample)(text, s, plan)
-    headers = header(sized(text, s), s, compressed)
-    found = headers.limit(2).collect()
+    found = files_at(source)
     if len(found) != 1:
         raise FileNotFoundError(source) if not found else ValueError(f"more than one file at {source}: a target holds one suffix array")
-    of = found[0]
-    words = compress(sa, headers, ["path"]) if compressed else sa.select("path", F.col("rank").alias("word_idx"), F.col("pos").alias("word"))
+    n_bytes, one = found[0].size, F.lit(0).alias("one")
+    size = spark.createDataFrame([(0, -(-n_bytes // s))], "one int, cells long")
+    headers = header(size, s, compressed)
+    of = headers.first()
+    log.info("found %d bytes in %.2f s", n_bytes, time.monotonic() - began)
+    began = time.monotonic()
+    sa = cut(sorted_file(spark, source, n_bytes, s, optimized, plan, kernel_bytes).select(one, "rank", "pos"))
+    log.info("built the suffix array in %.2f s", time.monotonic() - began)
+    began = time.monotonic()
+    words = compress(sa, headers, ["one"]) if compressed else sa.select(F.col("rank").alias("word_idx"), F.col("pos").alias("word"))
     write_ssa(words, target, of.bits_per_element, s, of.sa_length)
-    log.info("built and wrote %s in %.2f s", target, time.monotonic() - began)
+    log.info("wrote %s in %.2f s", target, time.monotonic() - began)
 
 
 def main(args: list[str] | None = None) -> None:

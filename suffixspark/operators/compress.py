@@ -1,10 +1,21 @@
-"""Suffix arrays as bit streams: elements of equal width, most significant bit first, in 64-bit words."""
+"""Suffix arrays as bit streams: elements of equal width, most significant bit first, in 64-bit words.
 
+64 elements fill exactly as many words as an element has bits. So a block of 64 * BLOCKS elements, and the words it fills, stand for themselves: blocks are dealt to tasks (one shuffle),
+sorted there, and packed or unpacked in numpy; no element or word has a part in two blocks."""
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from suffixspark.functions import bit_width
 
+#: 64 elements, so many times, make a block.
+BLOCKS = 256
+
 
 def header(sizes: DataFrame, s: int, compressed: bool = True) -> DataFrame:
     """keys, bits_per_element, sparseness, sa_length, n_words, from a table with keys and cells."""
@@ -14,27 +25,99 @@ def header(sizes: DataFrame, s: int, compressed: bool = True) -> DataFrame:
     return sizes.withColumn("bits_per_element", bits).select(*keys, "bits_per_element", F.lit(s).cast("bigint").alias("sparseness"), F.col("cells").alias("sa_length"), words.alias("n_words"))
 
 
+def pack_bits(values: np.ndarray, bits: int) -> np.ndarray:
+    """Words of the values, the last one padded with zeros."""
+    padded = np.zeros(-(-len(values) // 64) * 64, np.uint64)
+    padded[: len(values)] = values
+    rows, out = padded.reshape(-1, 64), np.zeros((len(padded) // 64, bits), np.uint64)
+    for k in range(64):  # the k-th of 64 elements has the same place in each group of words
+        word, shift = divmod(k * bits, 64)
+        left = 64 - shift - bits
+        if left >= 0:
+            out[:, word] |= rows[:, k] << np.uint64(left)
+        else:
+            out[:, word] |= rows[:, k] >> np.uint64(-left)
+            out[:, word + 1] |= rows[:, k] << np.uint64(64 + left)
+    return out.reshape(-1)[: -(-len(values) * bits // 64)].view(np.int64)
+
+
+def unpack_bits(words: np.ndarray, bits: int, count: int) -> np.ndarray:
+    """The first `count` values of the words."""
+    groups = -(-count // 64)
+    padded = np.zeros(groups * bits, np.uint64)
+    padded[: len(words)] = words.view(np.uint64)
+    rows, out = padded.reshape(groups, bits), np.zeros((groups, 64), np.uint64)
+    mask = np.uint64((1 << bits) - 1)
+    for k in range(64):
+        word, shift = divmod(k * bits, 64)
+        left = 64 - shift - bits
+        if left >= 0:
+            out[:, k] = (rows[:, word] >> np.uint64(left)) & mask
+        else:
+            out[:, k] = ((rows[:, word] << np.uint64(-left)) | (rows[:, word + 1] >> np.uint64(64 + left))) & mask
+    return out.reshape(-1)[:count].view(np.int64)
+
+
+def _by_block(rows: DataFrame, headers: DataFrame, keys: list[str], place: str, value: str, per_block: F.Column) -> DataFrame:
+    """rows with bits_per_element and sa_length, dealt by (keys, block) and sorted by place within."""
+    known = headers.select(*keys, F.col("bits_per_element").alias("_bits"), F.col("sa_length").alias("_length"))
+    both = rows.select(*keys, place, value).join(known, keys).withColumn("_block", F.expr(f"{place} div {{}}".format(per_block)))
+    return both.repartition(*keys, "_block").sortWithinPartitions(*keys, "_block", place)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each block, from sorted batches; a block may go over several of them."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        same = np.zeros(batch.num_rows, bool)  # as the row before
+        same[1:] = True
+        for c in [*keys, "_block"]:
+            column = batch.column(c)
+            code = column.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            same[1:] &= code[1:] == code[:-1]
+        starts = np.flatnonzero(~same).tolist()
+        if held and not all(held[-1].column(c)[-1].equals(batch.column(c)[0]) for c in [*keys, "_block"]):
+            yield pa.Table.from_batches(held)
+            held = []
+        for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+            if a and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _made(block: pa.Table, keys: list[str], names: list[str], columns: list[np.ndarray]) -> pa.RecordBatch:
+    own = [pa.repeat(block.column(k)[0], len(columns[0])) for k in keys]
+    return pa.RecordBatch.from_arrays([*own, *(pa.array(c) for c in columns)], [*keys, *names])
+
+
+def _result(rows: DataFrame, keys: list[str], names: list[str]) -> T.StructType:
+    return T.StructType([*(rows.schema[k] for k in keys), *(T.StructField(n, T.LongType()) for n in names)])
+
+
 def compress(sa: DataFrame, headers: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, word_idx, word from keys, rank, pos. Each element sends its bits to one or two words; a word is the bitwise or of its parts."""
-    parts = F.expr("""
-        filter(array(
-            struct(w0 as word_idx, if(sh >= 0, shiftleft(pos, greatest(sh, 0)), shiftrightunsigned(pos, greatest(-sh, 0))) as part),
-            if(sh < 0, struct(w0 + 1 as word_idx, shiftleft(pos, 64 + least(sh, -1)) as part), null)), e -> e is not null)""")
-    rows = sa.join(headers.select(*keys, "bits_per_element"), keys)
-    rows = rows.withColumn("w0", F.expr("rank * bits_per_element div 64L")).withColumn("sh", F.expr("cast(64 - (rank * bits_per_element) % 64 - bits_per_element as int)"))
-    return rows.select(*keys, F.explode(parts).alias("p")).groupBy(*keys, F.col("p.word_idx").alias("word_idx")).agg(F.bit_or("p.part").alias("word"))
+    """keys, word_idx, word from keys, rank, pos (ranks without gaps)."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches, keys):
+            bits = block.column("_bits")[0].as_py()
+            found = pack_bits(block.column("pos").to_numpy(), bits)
+            yield _made(block, keys, ["word_idx", "word"], [block.column("_block")[0].as_py() * BLOCKS * bits + np.arange(len(found)), found])
+
+    return _by_block(sa, headers, keys, "rank", "pos", f"{64 * BLOCKS}L").mapInArrow(words, _result(sa, keys, ["word_idx", "word"]))
 
 
 def decompress(words: DataFrame, headers: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, rank, pos: the inverse of compress. A word serves the elements that start in it and the one that runs into it from the word before."""
-    h = words.join(headers, keys)
-    first, last = "(word_idx * 64L + bits_per_element - 1) div bits_per_element", "(word_idx * 64L + 63) div bits_per_element"
-    # elements that start here, and (unless one starts on the boundary) the one before them, which ends here
-    here = h.withColumn("rank", F.expr(f"explode(sequence(greatest({first} - 1, 0L), least({last}, sa_length - 1)))"))
-    offset = F.expr("rank * bits_per_element - word_idx * 64L")
-    here = here.withColumn("off", offset.cast("int")).withColumn("w", F.col("bits_per_element").cast("int")).filter("off + w > 0 and off < 64")
-    part = F.expr("""
-        case when off < 0 then shiftrightunsigned(word, 64 - (off + w))
-             when off + w <= 64 then shiftrightunsigned(shiftleft(word, off), 64 - w)
-             else shiftleft(shiftrightunsigned(shiftleft(word, off), off), off + w - 64) end""")
-    return here.withColumn("part", part).groupBy(*keys, "rank").agg(F.bit_or("part").alias("pos"))
+    """keys, rank, pos: the inverse of compress."""
+
+    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches, keys):
+            bits, first = block.column("_bits")[0].as_py(), block.column("_block")[0].as_py() * BLOCKS * 64
+            found = unpack_bits(block.column("word").to_numpy(), bits, min(BLOCKS * 64, block.column("_length")[0].as_py() - first))
+            yield _made(block, keys, ["rank", "pos"], [first + np.arange(len(found)), found])
+
+    return _by_block(words, headers, keys, "word_idx", "word", f"({BLOCKS}L * _bits)").mapInArrow(elements, _result(words, keys, ["rank", "pos"]))
