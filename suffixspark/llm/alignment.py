@@ -209,10 +209,10 @@ def units_of(text: str) -> list[str]:
     return [text] if ODD.search(text) or text.startswith(" ") else text.split(" ")
 
 
-def _portions(texts: list[str | None]) -> Iterator[list[str]]:
+def _portions(texts: pa.Array) -> Iterator[list[str]]:
     out, chars = [], 0
     for t in texts:
-        out.append(t or "")
+        out.append(t.as_py() or "")
         chars += len(out[-1])
         if len(out) >= TEXTS_AT_ONCE or chars >= CHARS_AT_ONCE:
             yield out
@@ -237,7 +237,7 @@ def link_counts(docs: DataFrame, text: str = "text", byte_bpe: str = BYTE_BPE, p
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
         for batch in batches:
-            for texts in _portions(batch.column(0).to_pylist()):
+            for texts in _portions(batch.column(0)):
                 known, numbers = _numbered(cache, texts, (byte_bpe, piece_bpe))
                 used, times = np.unique(np.concatenate([*numbers, np.zeros(0, np.int64)]), return_counts=True)
                 pair, at = np.unique(known.links[known.flat(used)], return_inverse=True)
@@ -276,7 +276,7 @@ def align(docs: DataFrame, text: str = "text", byte_bpe: str = BYTE_BPE, piece_b
         cache: dict = {}
         for batch in batches:
             done = 0
-            for texts in _portions(batch.column("text").to_pylist()):
+            for texts in _portions(batch.column("text")):
                 known, numbers = _numbered(cache, texts, (byte_bpe, piece_bpe))
                 used, own = np.unique(np.concatenate([*numbers, np.zeros(0, np.int64)]), return_inverse=True)
                 at = known.flat(used)

@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from suffixspark.llm.components import components
+from suffixspark.llm.rows import sliced
 from suffixspark.session import cut
 
 SHINGLE, PERCENT = 5, 80
@@ -123,7 +124,7 @@ def _mapped(docs: DataFrame, make, schema: str) -> DataFrame:
     """make(list of (doc_id, sets)) -> arrays, over all rows of docs (doc_id, text in UTF-8, more...)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sets = [shingles(t.as_py() or b"") for t in batch.column("text")]
             yield make(batch, sets)
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from suffixspark.llm.pieces import SIDE_BY_SIDE, TOKENIZERS, PieceTable, expected_counts, forward, lattice, log_forward, long_word_counts, vocabulary
-from suffixspark.llm.rows import row_and
+from suffixspark.llm.rows import row_and, sliced
 
 SAMPLE_PER_LANG = 1000
 MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
@@ -48,8 +48,8 @@ def word_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             table: dict[tuple[str, str], int] = {}
-            for name, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for w in parts(t):
+            for name, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for w in parts(t.as_py()):
                     table[name, w] = table.get((name, w), 0) + 1
             names, words = zip(*table, strict=True) if table else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(words, pa.string()), pa.array(table.values(), pa.int64())], ["lang", "word", "n"])
@@ -130,7 +130,7 @@ def predict(docs: DataFrame, languages: Languages, text: str = "text", model: st
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = None
-        for batch in batches:
+        for batch in sliced(batches):
             scorer = scorer or Scorer(*shared.value)
             names, score = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
             texts = batch.column("text").to_pylist()
