@@ -205,14 +205,18 @@ def _counts(docs: DataFrame, proposed: tuple[Bits, Bits] | None, before: list[tu
         pa.set_memory_pool(pa.system_memory_pool())  # which gives memory back at once
         for batch in batches:
             for lang, text in _portions(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
-                for k, phrases, n, known in _phrases(lang, text, proposed, before, n_words):
+                for _, phrases, n, known in _phrases(lang, text, proposed, before, n_words):
                     for lo in range(0, len(phrases), 1 << 16):
                         part, size = phrases.slice(lo, 1 << 16), min(1 << 16, len(phrases) - lo)
-                        columns = [pa.repeat(pa.scalar(lang), size), part.cast(pa.string()), pa.repeat(pa.scalar(k, pa.int32()), size), pa.array(known[lo : lo + size]), pa.array(n[lo : lo + size].astype(np.int64))]
-                        yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "k", "known", "n"])
-
-    found = docs.select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(rows, "lang string, phrase string, k int, known boolean, n long")
-    return found.groupBy("lang", "phrase", "k", "known").agg(F.sum("n").alias("n")).filter((F.col("n") >= least) | (F.col("k") == 0))
+                        key = pc.binary_join_element_wise(pa.scalar(lang, pa.large_string()), part, pa.scalar("\n", pa.large_string()))
+                        yield pa.RecordBatch.from_arrays([key.cast(pa.string()), pa.array(known[lo : lo + size]), pa.array(n[lo : lo + size].astype(np.int64))], ["key", "known", "n"])
+
+    found = docs.select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(rows, "key string, known boolean, n long")
+    # one short key: the language, a line end (no phrase has one) and the phrase
+    summed = found.groupBy("key", "known").agg(F.sum("n").alias("n")).withColumn("phrase", F.substring_index("key", "\n", -1))
+    k = F.when(F.col("phrase") == "", 0).otherwise(F.length("phrase") - F.length(F.replace("phrase", F.lit(" "))) + 1)
+    lang = F.left("key", F.length("key") - F.length("phrase") - 1)
+    return summed.filter((F.col("n") >= least) | F.col("key").endswith("\n")).select(lang.alias("lang"), "phrase", k.alias("k"), "known", "n")
 
 
 def _proposal(frequent: DataFrame) -> tuple[Bits, Bits]:
