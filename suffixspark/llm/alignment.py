@@ -241,8 +241,7 @@ def link_counts(docs: DataFrame, text: str = "text", byte_bpe: str = BYTE_BPE, p
                 known, numbers = _numbered(cache, texts, (byte_bpe, piece_bpe))
                 used, times = np.unique(np.concatenate([*numbers, np.zeros(0, np.int64)]), return_counts=True)
                 pair, at = np.unique(known.links[known.flat(used)], return_inverse=True)
-                n = np.zeros(len(pair), np.int64)
-                np.add.at(n, at, np.repeat(times, known.first[used + 1] - known.first[used]))
+                n = np.bincount(at, np.repeat(times, known.first[used + 1] - known.first[used]), len(pair)).astype(np.int64)  # of a portion: exact in doubles
                 yield pa.RecordBatch.from_arrays([pa.array(pair >> 32, pa.int32()), pa.array(pair & 0xFFFFFFFF, pa.int32()), pa.array(n)], ["a", "b", "n"])
 
     found = docs.select(F.col(text).cast("string")).mapInArrow(count, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
@@ -286,19 +285,16 @@ def align(docs: DataFrame, text: str = "text", byte_bpe: str = BYTE_BPE, piece_b
                 sent = pairs[place] == links if len(pairs) else np.zeros(len(links), bool)
                 n, best = np.zeros(len(links), np.int64), np.zeros(len(links), np.int64)
                 n[sent], best[sent] = ns[place[sent]], bests[place[sent]]
-                of_unit = np.zeros((len(used), 3), np.int64)
-                for column, value in enumerate((np.ones(len(links), np.int64), best, n)):
-                    np.add.at(of_unit[:, column], unit, value)
-                own = own.reshape(-1)
-                doc = np.repeat(np.arange(len(texts)), [len(x) for x in numbers])
-                total = np.zeros((len(texts), 6), np.int64)
-                np.add.at(total, doc, np.concatenate([known.counts[used], of_unit], 1)[own])
+                of_unit = _sums(np.stack([np.ones(len(links), np.int64), best, n], 1), known.first[used + 1] - known.first[used])
+                own, size = own.reshape(-1), np.array([len(x) for x in numbers], np.int64)
+                total = _sums(np.concatenate([known.counts[used], of_unit], 1)[own], size)
                 groups = [";".join(map(known.groups.__getitem__, x.tolist())) for x in numbers]
                 sha = [hashlib.sha256(g.encode()).hexdigest() if len(x) else "" for g, x in zip(groups, numbers, strict=True)]
                 columns = [batch.column("row").slice(done, len(texts)), *(pa.array(c) for c in total.T.copy()), pa.array(sha, pa.string())]
                 names = ["row", *(f.split()[0] for f in RESULT.split(", "))]
                 if not whole:
                     other = [links[k] for k in _by_unit(unit, ~sent, len(used))]
+                    doc = np.repeat(np.arange(len(texts)), size)
                     rest = [np.concatenate([*(other[u] for u in own[doc == d]), np.zeros(0, np.int64)]) for d in range(len(texts))]
                     columns.append(pa.array(rest, pa.list_(pa.int64())))
                     names.append("rest")
@@ -317,6 +313,13 @@ def align(docs: DataFrame, text: str = "text", byte_bpe: str = BYTE_BPE, piece_b
     return both.withColumns(added).drop("rest", "at", "more_best", "more_sum")
 
 
+def _sums(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of the columns over so many rows in turn."""
+    so_far = np.concatenate([np.zeros((1, rows.shape[1]), np.int64), np.cumsum(rows, axis=0)])
+    ends = np.cumsum(sizes)
+    return so_far[ends] - so_far[ends - sizes]
+
+
 def _by_unit(unit: np.ndarray, chosen: np.ndarray, n: int) -> list[np.ndarray]:
     """The chosen places of each unit (places are in the order of units)."""
     at = np.flatnonzero(chosen)
