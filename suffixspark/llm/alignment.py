@@ -6,7 +6,7 @@ both end. Within a group, the places where a token starts part the bytes; each p
 
 Neither tokenizer joins what stands before a space with the space, so a text is cut into units at its spaces, and each different unit is encoded and aligned once in a task
 (a text with two white-space characters around a space, or a space at its end, is one unit: there the split of white space depends on what follows).
-Links are counted over the corpus by pairs of ids, and the counts go to all tasks: at most `sent_rows` pairs, the most frequent ones, each 17 bytes. The others are joined.
+What is found is written to a table with the links of each text, so that no text is encoded twice. Links are counted over the corpus by pairs of ids, and the counts go to all tasks: at most `sent_rows` pairs, the most frequent ones, each 17 bytes. The others are joined.
 
 Null and empty texts, and those whose A or B bytes differ from the space and the text, have no tokens. Repeated rows (also of null or repeated doc_id) count each.
 An empty table gives an empty result. Texts of any length are encoded whole. Columns of any name can be carried: they stay inside `row`."""
@@ -26,14 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from suffixspark.llm.pieces import TOKENIZERS
-from suffixspark.llm.rows import row_and
+from suffixspark.llm.rows import give_back, row_and
 from suffixspark.session import cut
 
 BYTE_BPE, PIECE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model"
 #: Pairs whose counts are sent to all tasks.
 SENT_ROWS = 2_000_000
 #: A task's aligned units are forgotten when they are this many, or this many characters.
-MAX_UNITS, MAX_CHARS = 200_000, 16 << 20
+MAX_UNITS, MAX_CHARS = 400_000, 16 << 20
 #: Texts that are aligned together: this many, or until their characters are this many.
 TEXTS_AT_ONCE, CHARS_AT_ONCE = 1024, 4 << 20
 #: White space around a space: the split of such a run depends on more than the unit.
@@ -43,6 +43,7 @@ TOGETHER = 256
 PLAIN = re.compile("[!-~\u00c0-\u017f]+")
 #: Fixed value: how a byte-level vocabulary cuts texts before it merges bytes.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+ALIGNED = {"n_a": "long", "n_b": "long", "n_groups": "long", "n_links": "long", "groups_sha256": "string", "links": "array<long>"}
 RESULT = "n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
@@ -231,23 +232,44 @@ def _numbered(cache: dict, texts: list[str], paths: tuple[str, str]) -> tuple[Un
     return known, [x if known.ok[x].all() else x[:0] for x in numbers]
 
 
-def link_counts(docs: DataFrame, text: str = "text", byte_bpe: str = BYTE_BPE, piece_bpe: str = PIECE_BPE) -> DataFrame:
-    """a, b, n, best: each pair of ids that is linked anywhere, its number of links, and whether no other A id has more with this B id."""
+def aligned(docs: DataFrame, text: str = "text", byte_bpe: str = BYTE_BPE, piece_bpe: str = PIECE_BPE, carried: list[str] | None = None) -> DataFrame:
+    """row (a struct with the carried columns of docs, by default all), n_a, n_b, n_groups, n_links, groups_sha256, and links: a << 32 | b for each link. Each text is encoded here, and nowhere else."""
+    carried = docs.columns if carried is None else carried
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
         for batch in batches:
-            for texts in _portions(batch.column(0)):
+            done = 0
+            for texts in _portions(batch.column("text")):
                 known, numbers = _numbered(cache, texts, (byte_bpe, piece_bpe))
-                used, times = np.unique(np.concatenate([*numbers, np.zeros(0, np.int64)]), return_counts=True)
-                pair, at = np.unique(known.links[known.flat(used)], return_inverse=True)
-                n = np.bincount(at, np.repeat(times, known.first[used + 1] - known.first[used]), len(pair)).astype(np.int64)  # of a portion: exact in doubles
-                yield pa.RecordBatch.from_arrays([pa.array(pair >> 32, pa.int32()), pa.array(pair & 0xFFFFFFFF, pa.int32()), pa.array(n)], ["a", "b", "n"])
+                flat, size = np.concatenate([*numbers, np.zeros(0, np.int64)]), np.array([len(x) for x in numbers], np.int64)
+                n_links = known.first[flat + 1] - known.first[flat]
+                total = _sums(np.concatenate([known.counts[flat], n_links[:, None]], 1), size)
+                groups = [";".join(map(known.groups.__getitem__, x.tolist())) for x in numbers]
+                sha = [hashlib.sha256(g.encode()).hexdigest() if len(x) else "" for g, x in zip(groups, numbers, strict=True)]
+                offsets = pa.array(np.concatenate([[0], np.cumsum(total[:, 3])]).astype(np.int32))
+                links = pa.ListArray.from_arrays(offsets, pa.array(known.links[known.flat(flat)]))
+                row = batch.column("row").slice(done, len(texts))
+                done += len(texts)
+                yield pa.RecordBatch.from_arrays([row, *(pa.array(c) for c in total.T.copy()), pa.array(sha, pa.string()), links], ["row", *ALIGNED])
+            give_back()
+
+    kept = docs.select(*[F.col(f"`{c}`") for c in carried])
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"), F.col(text).cast("string").alias("text"))
+    return packed.mapInArrow(rows, row_and(kept, ", ".join(f"{k} {v}" for k, v in ALIGNED.items())))
+
 
-    found = docs.select(F.col(text).cast("string")).mapInArrow(count, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    found = cut(found)
-    highest = found.groupBy("b").agg(F.max("n").alias("highest"))  # at most a row for each id of the vocabulary
-    return cut(found.join(F.broadcast(highest), "b").select("a", "b", "n", (F.col("n") == F.col("highest")).alias("best")))
+def link_counts(found: DataFrame) -> DataFrame:
+    """a, b, n, best: each pair of ids that is linked anywhere in aligned texts, its number of links, and whether no other A id has more with this B id."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pair, n = np.unique(batch.column(0).flatten().to_numpy(), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pair >> 32, pa.int32()), pa.array(pair & 0xFFFFFFFF, pa.int32()), pa.array(n.astype(np.int64))], ["a", "b", "n"])
+
+    pairs = cut(found.select("links").mapInArrow(count, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")))
+    highest = pairs.groupBy("b").agg(F.max("n").alias("highest"))  # at most a row for each id of the vocabulary
+    return cut(pairs.join(F.broadcast(highest), "b").select("a", "b", "n", (F.col("n") == F.col("highest")).alias("best")))
 
 
 def _least_sent(counts: DataFrame, sent_rows: int) -> int:
@@ -262,49 +284,39 @@ def _least_sent(counts: DataFrame, sent_rows: int) -> int:
     return 1 << (bits - 1)
 
 
-def align(docs: DataFrame, text: str = "text", byte_bpe: str = BYTE_BPE, piece_bpe: str = PIECE_BPE, sent_rows: int = SENT_ROWS) -> DataFrame:
-    """row (a struct with the columns of docs), n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
-    counts = link_counts(docs, text, byte_bpe, piece_bpe)
+def align(docs: DataFrame, text: str = "text", byte_bpe: str = BYTE_BPE, piece_bpe: str = PIECE_BPE, sent_rows: int = SENT_ROWS, carried: list[str] | None = None) -> DataFrame:
+    """row (a struct with the carried columns of docs, by default all), n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
+    found = cut(aligned(docs, text, byte_bpe, piece_bpe, carried))
+    counts = link_counts(found)
     least = _least_sent(counts, sent_rows)
     sent = counts.filter(F.col("n") >= least).select((F.shiftleft(F.col("a").cast("long"), 32) + F.col("b")).alias("pair"), "n", "best").toPandas().sort_values("pair")
     shared = docs.sparkSession.sparkContext.broadcast((sent["pair"].to_numpy(np.int64), sent["n"].to_numpy(np.int64), sent["best"].to_numpy(bool)))
     whole = least == 1 or counts.filter(F.col("n") < least).isEmpty()
+    kept = [f for f in RESULT.split(", ") if f.split()[0] not in ("n_best", "count_sum")]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, ns, bests = shared.value
-        cache: dict = {}
         for batch in batches:
-            done = 0
-            for texts in _portions(batch.column("text")):
-                known, numbers = _numbered(cache, texts, (byte_bpe, piece_bpe))
-                used, own = np.unique(np.concatenate([*numbers, np.zeros(0, np.int64)]), return_inverse=True)
-                at = known.flat(used)
-                unit = np.repeat(np.arange(len(used)), known.first[used + 1] - known.first[used])
-                links = known.links[at]
-                place = np.minimum(np.searchsorted(pairs, links), max(len(pairs) - 1, 0))
-                sent = pairs[place] == links if len(pairs) else np.zeros(len(links), bool)
-                n, best = np.zeros(len(links), np.int64), np.zeros(len(links), np.int64)
-                n[sent], best[sent] = ns[place[sent]], bests[place[sent]]
-                of_unit = _sums(np.stack([np.ones(len(links), np.int64), best, n], 1), known.first[used + 1] - known.first[used])
-                own, size = own.reshape(-1), np.array([len(x) for x in numbers], np.int64)
-                total = _sums(np.concatenate([known.counts[used], of_unit], 1)[own], size)
-                groups = [";".join(map(known.groups.__getitem__, x.tolist())) for x in numbers]
-                sha = [hashlib.sha256(g.encode()).hexdigest() if len(x) else "" for g, x in zip(groups, numbers, strict=True)]
-                columns = [batch.column("row").slice(done, len(texts)), *(pa.array(c) for c in total.T.copy()), pa.array(sha, pa.string())]
-                names = ["row", *(f.split()[0] for f in RESULT.split(", "))]
-                if not whole:
-                    other = [links[k] for k in _by_unit(unit, ~sent, len(used))]
-                    doc = np.repeat(np.arange(len(texts)), size)
-                    rest = [np.concatenate([*(other[u] for u in own[doc == d]), np.zeros(0, np.int64)]) for d in range(len(texts))]
-                    columns.append(pa.array(rest, pa.list_(pa.int64())))
-                    names.append("rest")
-                done += len(texts)
-                yield pa.RecordBatch.from_arrays(columns, names)
-
-    packed = docs.select(F.struct("*").alias("row"), F.col(text).cast("string").alias("text"))
+            links = batch.column("links")
+            size, links = np.diff(links.offsets.to_numpy()).astype(np.int64), links.flatten().to_numpy()
+            own, at = np.unique(links, return_inverse=True)
+            place = np.minimum(np.searchsorted(pairs, own), max(len(pairs) - 1, 0))
+            sent = pairs[place] == own if len(pairs) else np.zeros(len(own), bool)
+            of = np.zeros((len(own), 2), np.int64)
+            of[sent] = np.stack([bests[place[sent]], ns[place[sent]]], 1)
+            n_best, count_sum = _sums(of[at.reshape(-1)], size).T.copy()
+            columns = {"row": batch.column("row"), **{f.split()[0]: batch.column(f.split()[0]) for f in kept}, "n_best": pa.array(n_best), "count_sum": pa.array(count_sum)}
+            columns = {c: columns[c] for c in names}
+            if not whole:
+                rare = ~sent[at.reshape(-1)]
+                offsets = np.concatenate([[0], np.cumsum(_sums(rare.astype(np.int64)[:, None], size)[:, 0])]).astype(np.int32)
+                columns["rest"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(links[rare]))
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    names, row = ["row", *(f.split()[0] for f in RESULT.split(", "))], found.select("row.*")
     if whole:
-        return packed.mapInArrow(rows, row_and(docs, RESULT))
-    found = cut(packed.mapInArrow(rows, row_and(docs, f"{RESULT}, rest array<long>")).withColumn("at", F.monotonically_increasing_id()))
+        return found.mapInArrow(rows, row_and(row, RESULT))
+    found = cut(found.mapInArrow(rows, row_and(row, f"{RESULT}, rest array<long>")).withColumn("at", F.monotonically_increasing_id()))
     rare = counts.filter(F.col("n") < least).select((F.shiftleft(F.col("a").cast("long"), 32) + F.col("b")).alias("pair"), "n", "best")
     links = found.select("at", F.explode("rest").alias("pair")).join(rare, "pair")  # a rare pair has few links: no hot key
     more = links.groupBy("at").agg(F.sum(F.col("best").cast("long")).alias("more_best"), F.sum("n").alias("more_sum"))
@@ -318,9 +330,3 @@ def _sums(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     so_far = np.concatenate([np.zeros((1, rows.shape[1]), np.int64), np.cumsum(rows, axis=0)])
     ends = np.cumsum(sizes)
     return so_far[ends] - so_far[ends - sizes]
-
-
-def _by_unit(unit: np.ndarray, chosen: np.ndarray, n: int) -> list[np.ndarray]:
-    """The chosen places of each unit (places are in the order of units)."""
-    at = np.flatnonzero(chosen)
-    return np.split(at, np.searchsorted(unit[at], np.arange(1, n))) if n else []

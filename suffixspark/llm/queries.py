@@ -84,7 +84,7 @@ def op10_exact_topk(spark, sf_dir):
 
 
 def op11_token_alignment(spark, sf_dir):
-    out = alignment.align(documents(spark, sf_dir).select("doc_id", "text"))
+    out = alignment.align(documents(spark, sf_dir), carried=["doc_id"])
     return out.select("row.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
