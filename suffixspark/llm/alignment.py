@@ -26,16 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from suffixspark.llm.pieces import TOKENIZERS
-from suffixspark.llm.rows import give_back, row_and
+from suffixspark.llm.rows import give_back, row_and, sliced
 from suffixspark.session import cut
 
 BYTE_BPE, PIECE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model"
 #: Pairs whose counts are sent to all tasks.
 SENT_ROWS = 2_000_000
 #: A task's aligned units are forgotten when they are this many, or this many characters.
-MAX_UNITS, MAX_CHARS = 400_000, 16 << 20
+MAX_UNITS, MAX_CHARS = 300_000, 16 << 20
 #: Texts that are aligned together: this many, or until their characters are this many.
-TEXTS_AT_ONCE, CHARS_AT_ONCE = 1024, 4 << 20
+TEXTS_AT_ONCE, CHARS_AT_ONCE = 512, 1 << 20
 #: White space around a space: the split of such a run depends on more than the unit.
 ODD = re.compile(r"\s (?=\s)|  | $")
 #: Units of these characters are encoded so many at once: printable ASCII and Latin letters, no white space.
@@ -252,7 +252,7 @@ def aligned(docs: DataFrame, text: str = "text", byte_bpe: str = BYTE_BPE, piece
                 row = batch.column("row").slice(done, len(texts))
                 done += len(texts)
                 yield pa.RecordBatch.from_arrays([row, *(pa.array(c) for c in total.T.copy()), pa.array(sha, pa.string()), links], ["row", *ALIGNED])
-            give_back()
+                give_back()
 
     kept = docs.select(*[F.col(f"`{c}`") for c in carried])
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"), F.col(text).cast("string").alias("text"))
@@ -263,7 +263,7 @@ def link_counts(found: DataFrame) -> DataFrame:
     """a, b, n, best: each pair of ids that is linked anywhere in aligned texts, its number of links, and whether no other A id has more with this B id."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             pair, n = np.unique(batch.column(0).flatten().to_numpy(), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(pair >> 32, pa.int32()), pa.array(pair & 0xFFFFFFFF, pa.int32()), pa.array(n.astype(np.int64))], ["a", "b", "n"])
 
@@ -296,9 +296,9 @@ def align(docs: DataFrame, text: str = "text", byte_bpe: str = BYTE_BPE, piece_b
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, ns, bests = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             links = batch.column("links")
-            size, links = np.diff(links.offsets.to_numpy()).astype(np.int64), links.flatten().to_numpy()
+            size, links = np.diff(links.offsets.to_numpy()).astype(np.int64), links.flatten().to_numpy()  # flatten: of the slice alone
             own, at = np.unique(links, return_inverse=True)
             place = np.minimum(np.searchsorted(pairs, own), max(len(pairs) - 1, 0))
             sent = pairs[place] == own if len(pairs) else np.zeros(len(own), bool)
