@@ -33,9 +33,9 @@ BYTE_BPE, PIECE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bp
 #: Pairs whose counts are sent to all tasks.
 SENT_ROWS = 2_000_000
 #: A task's aligned units are forgotten when they are this many, or this many characters.
-MAX_UNITS, MAX_CHARS = 300_000, 16 << 20
+MAX_UNITS, MAX_CHARS = 150_000, 8 << 20
 #: Texts that are aligned together: this many, or until their characters are this many.
-TEXTS_AT_ONCE, CHARS_AT_ONCE = 512, 1 << 20
+TEXTS_AT_ONCE, CHARS_AT_ONCE = 256, 1 << 19
 #: White space around a space: the split of such a run depends on more than the unit.
 ODD = re.compile(r"\s (?=\s)|  | $")
 #: Units of these characters are encoded so many at once: printable ASCII and Latin letters, no white space.
@@ -238,6 +238,7 @@ def aligned(docs: DataFrame, text: str = "text", byte_bpe: str = BYTE_BPE, piece
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
+        pa.set_memory_pool(pa.system_memory_pool())  # which gives memory back at once
         for batch in batches:
             done = 0
             for texts in _portions(batch.column("text")):
@@ -253,6 +254,9 @@ def aligned(docs: DataFrame, text: str = "text", byte_bpe: str = BYTE_BPE, piece
                 done += len(texts)
                 yield pa.RecordBatch.from_arrays([row, *(pa.array(c) for c in total.T.copy()), pa.array(sha, pa.string()), links], ["row", *ALIGNED])
                 give_back()
+        known = numbers = groups = links = None
+        cache.clear()  # the worker lives on, for stages that don't need this
+        give_back()
 
     kept = docs.select(*[F.col(f"`{c}`") for c in carried])
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"), F.col(text).cast("string").alias("text"))
