@@ -63,8 +63,8 @@ def op6_decontamination(spark, sf_dir):
 
 def op7_maxent_scores(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    model, counts = maxent.train(docs.filter(~maxent.held_out(F.col("doc_id"))))
-    return maxent.score(docs, model, counts).withColumn("held_out", maxent.held_out(F.col("doc_id")))
+    held_out = maxent.held_out(F.col("doc_id"))
+    return maxent.train_and_score(docs, ~held_out).withColumn("held_out", held_out)
 
 
 def op8_language_id(spark, sf_dir):

@@ -195,6 +195,87 @@ def test_class_probabilities_sum_to_one(spark):
         assert (10 ** model.inside[:-2][model.class_of[:-2] == c]).sum() == pytest.approx(1)
 
 
+def brute_log_token(model, before, word):
+    """log10 P(word | three words before), walking from the model's arrays one token at a time; None is the end, rare words stop at their class."""
+    ids = [model.end + 1 if w == "" else model.number.get(w, model.rare) for w in before]  # the last word first
+    wide, mask = (1 << 64) - 1, (1 << 32) - 1
+    features = [ids[0] * 0x9E3779B97F4A7C15, ((ids[0] * 1_000_003 + ids[1]) & wide) * 0xC2B2AE3D27D4EB4F, ids[1] * 0x165667B19E3779F9, ids[2] * 0x27D4EB2F165667C5]
+    context = [(x & wide) >> 32 for x in features]
+    logits = [model.bias[c] + sum(float(model.weights[x >> 18, c]) for x in context) for c in range(len(model.bias))]
+    i = model.end if word is None else model.number.get(word, model.rare)
+    out = logits[model.class_of[i]] - math.log(sum(map(math.exp, logits)))
+    for at in range(model.trees.start[i], model.trees.start[i + 1]):
+        node, side, odds = int(model.trees.node[at]), int(model.trees.side[at]), 0.0
+        for x in context:
+            x = ((x ^ (node * 0x9E3779B1 & mask)) * 0x85EBCA6B) & mask
+            x = ((x ^ (x >> 15)) * 0xC2B2AE35) & mask
+            odds += float(model.node_weights[x >> 12])
+        odds += float(model.trees.bias[node])
+        out -= math.log1p(math.exp(-odds if side else odds))
+    return out / math.log(10)
+
+
+def told_apart():
+    """Words that only the context tells apart, and rare ones."""
+    r = random.Random(5)
+    pairs = {"left": "sock", "right": "shoe", "upper": "deck", "lower": "hull"}
+    return [(i, " ".join(x for a in r.choices(list(pairs), k=12) for x in (a, pairs[a])) + f" only{i}", "") for i in range(400)]
+
+
+def test_context_tells_words_of_a_class_apart(spark, monkeypatch):
+    monkeypatch.setattr(maxent, "CLUSTERS", 1)  # all of them in one class
+    docs = table(spark, told_apart())
+    model, _ = maxent.train(docs)
+    assert len(set(model.class_of[:-2].tolist())) == 1 and len(model.number) == 8
+    for a, b in ((b"left", b"sock"), (b"right", b"shoe"), (b"upper", b"deck"), (b"lower", b"hull")):
+        logs = {w: brute_log_token(model, [a, b"sock", b"left"], w) for w in model.number}
+        inside = 10 ** logs[b] / sum(10**x for x in logs.values())
+        assert inside > 2 * 10 ** model.inside[model.number[b]] and inside == max(10**x for x in logs.values()) / sum(10**x for x in logs.values())
+
+
+def test_tokens_of_a_class_sum_to_one(spark):
+    """With the learned weights, in any context; without weights, a word has its share of the counts."""
+    model, _ = maxent.train(table(spark, labelled()))
+    assert np.abs(model.node_weights).max() > 0.01
+    n = len(model.count)
+    for before in ([b"the", b"in", b"people"], [b"nobody", b"", b""]):
+        ids = np.array([model.end + 1 if not w else model.number.get(w, model.rare) for w in before])
+        every = np.stack([np.full(n, ids[2]), np.full(n, ids[1]), np.full(n, ids[0]), np.arange(n)], axis=1).reshape(-1)
+        context = maxent.contexts(every, np.full(n, 4), model.end)[:, 3::4]
+        logs = maxent.log_inside(model.trees, np.arange(n), context, model.node_weights)
+        for c in set(model.class_of.tolist()):
+            assert np.exp(logs[model.class_of == c]).sum() == pytest.approx(1, abs=1e-4)
+        plain = maxent.log_inside(model.trees, np.arange(n), context, np.zeros_like(model.node_weights))
+        assert plain / math.log(10) == pytest.approx(model.inside, abs=1e-5)
+
+
+def test_scores_against_a_walk_over_the_model(spark):
+    """score, of rows with null and repeated ids, unknown words and no words."""
+    rows = [*labelled()[:60], *told_apart()[:40], (300, "never seen words", ""), (300, "never seen words", ""), (None, "the sock", ""), (301, None, "")]
+    docs = table(spark, rows)
+    model, counts = maxent.train(docs.filter("doc_id is not null and doc_id < 300"))
+    c = {bytes(r["word"]): r["n"] for r in counts.collect()}
+    want = []
+    for i, t, _ in rows:
+        ws, total = (t or "").lower().encode().split(), 0.0
+        for k, w in enumerate([*ws, None]):
+            total += brute_log_token(model, [ws[k - d] if k >= d else "" for d in (1, 2, 3)], w)
+            if w is not None and w not in model.number:
+                total += math.log10((c.get(w, 0) + 0.1) / model.rare_mass)
+        want.append((str(i), len(ws) + 1, total))
+    got = sorted((str(r["doc_id"]), r["n_tokens"], r["score"]) for r in maxent.score(docs, model, counts).collect())
+    want.sort()
+    assert [g[:2] for g in got] == [w[:2] for w in want] and [g[2] for g in got] == pytest.approx([w[2] for w in want], rel=1e-4)
+
+
+def test_train_and_score_is_train_then_score(spark):
+    docs = table(spark, labelled()).coalesce(1)
+    learn = ~maxent.held_out(F.col("doc_id"))
+    model, counts = maxent.train(docs.filter(learn))
+    both = [sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 2)) for r in out.collect()) for out in (maxent.train_and_score(docs, learn), maxent.score(docs, model, counts))]
+    assert both[0] == both[1] and len(both[0]) == len(labelled())
+
+
 def test_neighbours_are_counted_whole(spark):
     """Also of words that come after many others, and that no task sees often."""
     r = random.Random(3)
