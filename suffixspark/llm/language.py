@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from suffixspark.llm.pieces import SIDE_BY_SIDE, TOKENIZERS, PieceTable, expected_counts, forward, lattice, log_forward, long_word_counts, vocabulary
-from suffixspark.llm.rows import row_and, sliced
+from suffixspark.llm.rows import give_back, row_and, sliced
 
 SAMPLE_PER_LANG = 1000
 MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
@@ -97,11 +97,10 @@ class Scorer:
         self._clear()
 
     def _clear(self) -> None:
-        self.number, self.size, self.rows = {}, 0, np.zeros((0, len(self.of.names)))
+        self.number, self.size, self.rows = {}, 0, np.empty((WORDS_AT_ONCE, len(self.of.names)))
 
     def _add(self, words: list[str]) -> None:
-        words = sorted(words, key=len)
-        new = [self.rows]
+        words, new, old = sorted(words, key=len), [], len(self.number)
         short = sum(len(w) <= SIDE_BY_SIDE for w in words)
         for lo in range(0, short, WORDS_AT_ONCE):
             some = words[lo : min(lo + WORDS_AT_ONCE, short)]
@@ -109,8 +108,10 @@ class Scorer:
             new.append(np.log(np.maximum(alpha[[len(w) for w in some], np.arange(len(some))], 1e-300)))
         new += [log_forward(w, self.table, self.log_prob)[None, :] for w in words[short:]]
         self.size += sum(map(len, words))
-        self.number |= zip(words, range(len(self.rows), len(self.rows) + len(words)), strict=True)
-        self.rows = np.vstack(new)
+        if old + len(words) > len(self.rows):  # half as much again, so that few copies are made
+            self.rows = np.concatenate([self.rows[:old], np.empty((len(words) + old // 2, self.rows.shape[1]))])
+        self.rows[old : old + len(words)] = np.concatenate(new)
+        self.number.update(zip(words, range(old, old + len(words)), strict=True))
 
     def score(self, texts: list[str]) -> np.ndarray:
         split = [parts(t) for t in texts]
@@ -129,6 +130,10 @@ def predict(docs: DataFrame, languages: Languages, text: str = "text", model: st
     shared = docs.sparkSession.sparkContext.broadcast((languages, vocabulary(model)))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from label(batches)
+        give_back()  # what the task's scorer held; the worker lives on
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = None
         for batch in sliced(batches):
             scorer = scorer or Scorer(*shared.value)

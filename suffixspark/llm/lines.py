@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from suffixspark.llm.rows import row_and
+from suffixspark.llm.rows import row_and, sliced
 from suffixspark.session import cut
 
 #: Frequent lines of up to this many rows (24 bytes each) are sent to the tasks; more are joined.
@@ -42,7 +42,7 @@ def document_keys(docs: DataFrame, min_chars: int) -> DataFrame:
     """h1, h2, doc_id: a row for each document and key."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             keys, ids = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
                 own = {h for _, h in line_hashes(text.as_py() or b"", min_chars)}
@@ -82,29 +82,33 @@ def _drop_sent(docs: DataFrame, frequent: DataFrame, min_chars: int) -> DataFram
     shared = docs.sparkSession.sparkContext.broadcast((table["h1"].to_numpy(), table["h2"].to_numpy(), table["keeper"].fillna(LOWEST).astype(np.int64).to_numpy()))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h1, h2, keeper = shared.value
-        keeper_of = {(a, b): k for a, b, k in zip(h1.tolist(), h2.tolist(), keeper.tolist(), strict=True)} if len(h1) <= 1 << 16 else None
-        for batch in batches:
-            out = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                found = line_hashes((text or "").encode(), min_chars)
-                own, drop = LOWEST if doc_id is None else doc_id, set()
-                if found:
-                    a, b = _signed(np.array([h >> 64 for _, h in found], np.uint64)), _signed(np.array([h & U64 for _, h in found], np.uint64))
-                    if keeper_of is not None:
-                        kept_by = [keeper_of.get(x) for x in zip(a.tolist(), b.tolist(), strict=True)]
-                    else:
-                        at = np.searchsorted(h1, a)
-                        kept_by = [_find(h1, h2, keeper, i, x, y) for i, x, y in zip(at.tolist(), a.tolist(), b.tolist(), strict=True)]
-                    drop = {i for (i, _), k in zip(found, kept_by, strict=True) if k is not None and own < k}
-                out.append(_rebuild(text, drop))
-            n, dropped, texts = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(texts, pa.string())], ["row", "n_lines", "n_dropped", "text"])
+        return drop_lines(batches, *shared.value, min_chars)
 
     packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long"), F.col("text"))
     return packed.mapInArrow(rows, row_and(docs, RESULT))
 
 
+def drop_lines(batches: Iterator[pa.RecordBatch], h1: np.ndarray, h2: np.ndarray, keeper: np.ndarray, min_chars: int) -> Iterator[pa.RecordBatch]:
+    """Rows (row, doc_id, text) without the lines whose keys are among the sorted ones, in slices of batches."""
+    keeper_of = {(a, b): k for a, b, k in zip(h1.tolist(), h2.tolist(), keeper.tolist(), strict=True)} if len(h1) <= 1 << 16 else None
+    for batch in sliced(batches):
+        out = []
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            found = line_hashes((text or "").encode(), min_chars)
+            own, drop = LOWEST if doc_id is None else doc_id, set()
+            if found:
+                a, b = _signed(np.array([h >> 64 for _, h in found], np.uint64)), _signed(np.array([h & U64 for _, h in found], np.uint64))
+                if keeper_of is not None:
+                    kept_by = [keeper_of.get(x) for x in zip(a.tolist(), b.tolist(), strict=True)]
+                else:
+                    at = np.searchsorted(h1, a)
+                    kept_by = [_find(h1, h2, keeper, i, x, y) for i, x, y in zip(at.tolist(), a.tolist(), b.tolist(), strict=True)]
+                drop = {i for (i, _), k in zip(found, kept_by, strict=True) if k is not None and own < k}
+            out.append(_rebuild(text, drop))
+        n, dropped, texts = zip(*out, strict=True) if out else ((), (), ())
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(texts, pa.string())], ["row", "n_lines", "n_dropped", "text"])
+
+
 def _find(h1: np.ndarray, h2: np.ndarray, keeper: np.ndarray, i: int, x: int, y: int) -> int | None:
     while i < len(h1) and h1[i] == x:
         if h2[i] == y:

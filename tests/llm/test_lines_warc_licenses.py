@@ -1,10 +1,13 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from suffixspark.llm import licenses, lines, warc
+from suffixspark.llm import licenses, lines, rows, warc
 
 DOCS = "doc_id long, text string, h1 string, row string, n_dropped int, text_ string"
 
@@ -186,3 +189,18 @@ def test_wrapped_notices(spark):
     assert [out[10 + i] for i in range(len(marks))] == [(bsd, ["BSD-3-Clause"])] * len(marks)
     assert out[20] == (["MitRef", "GplFree", "GplHope", "GplSee", "MitRef"], ["MIT", "GPL-3.0-or-later", "MIT"])
     assert out[21] == ([], [])
+
+
+def test_frequent_lines_are_dropped_in_slices_of_a_batch():
+    """No array is made of all rows of a batch at once."""
+    line = "a line that many of the documents have in common"
+    key = xxhash.xxh3_128_intdigest(line.encode())
+    h1, h2 = (lines._signed(np.array([x], np.uint64)) for x in (key >> 64, key & lines.U64))
+    n = 3 * rows.SLICE + 7
+    batch = pa.RecordBatch.from_pylist([{"row": {"doc_id": i}, "doc_id": i, "text": f"{i}\n{line}" if i % 3 else None} for i in range(n)])
+    out = list(lines.drop_lines(iter([batch]), h1, h2, np.array([n - 1 - (n - 1) % 3 - 1]), 40))
+    assert [x.num_rows for x in out] == [rows.SLICE] * 3 + [7]
+    got = [r for x in out for r in x.to_pylist()]
+    last = n - 1 - (n - 1) % 3 - 1
+    want = [("", 0) if i % 3 == 0 else (f"{i}\n{line}", 0) if i >= last else (str(i), 1) for i in range(n)]
+    assert [(r["text"], r["n_dropped"]) for r in got] == want and [r["row"]["doc_id"] for r in got] == list(range(n))
