@@ -9,6 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from suffixspark.llm import language, maxent, pieces, tokens
+from suffixspark.llm.queries import QUERIES
 
 DOCS = "doc_id long, text string, lang string, row string, score string, word string"
 EN = ["the house of the river is old", "and the people in the street were happy", "there was nothing that they could think about"]
@@ -276,6 +277,20 @@ def test_train_and_score_is_train_then_score(spark):
     assert both[0] == both[1] and len(both[0]) == len(labelled())
 
 
+def test_texts_are_numbered_once_for_training_and_scoring(spark):
+    """What scores reads the coded table and the counts, no texts; tables of tasks travel in slices, without those of zeros."""
+    files = QUERIES["op7_maxent_scores"](spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and all("documents.parquet" not in f for f in files)
+    numbers = np.zeros(3 * maxent.SLICE + 5, np.float32)
+    numbers[[1, -1]] = 2, 3
+    batches = lambda: [*maxent._slices(numbers, 2), *maxent._slices(numbers, 0.5)]
+    assert [b["place"].to_pylist() for b in batches()] == [[0, 3]] * 2
+    rows = spark.createDataFrame([tuple(r.values()) for b in batches() for r in b.to_pylist()], maxent._SLICES)
+    out = np.zeros(len(numbers))
+    maxent._add_slices(rows, np.float32, out)
+    assert out.tolist() == (numbers * 2.5).tolist()
+
+
 def test_neighbours_are_counted_whole(spark):
     """Also of words that come after many others, and that no task sees often."""
     r = random.Random(3)
