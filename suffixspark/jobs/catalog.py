@@ -158,9 +158,9 @@ def q16_file_chunks(spark, d):
 
 
 def q17_build_file(spark, d):
-    """The program on the file of conversations: its compressed suffix array, read back and unpacked."""
+    """The program on the bytes of conversations, as one text if the table has several files: its compressed suffix array, read back and unpacked."""
     path = f"{_mounted(spark)}/conversations.ssa"
-    build(spark, f"{d}/conversations.parquet", path, 5, compressed=True)
+    build(spark, f"{d}/conversations.parquet", path, 5, compressed=True, joined=True)
     bits, s, length = read_header(path)
     head = spark.createDataFrame([(0, bits, s, length)], "one int, bits_per_element long, sparseness long, sa_length long")
     return compress.decompress(read_ssa(spark, path).withColumn("one", F.lit(0)), head, ["one"]).select("rank", "pos")

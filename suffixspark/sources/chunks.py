@@ -5,6 +5,7 @@ Chunks come from files of any size (byte ranges, read by many tasks), from texts
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -41,7 +42,7 @@ def files_at(path: str) -> list[pafs.FileInfo]:
 
 
 class ByteSource(DataSource):
-    """Data source "bytes": files as chunks. Options: path, chunk, halo."""
+    """Data source "bytes": files as chunks. Options: path, chunk, halo, joined (the files of a folder, in the order of their paths, are one text whose path is the folder's)."""
 
     @classmethod
     def name(cls) -> str:
@@ -51,40 +52,56 @@ class ByteSource(DataSource):
         return "path string, offset long, content binary, after binary"
 
     def reader(self, schema) -> "ByteReader":
-        return ByteReader(self.options["path"], int(self.options.get("chunk", CHUNK)), int(self.options.get("halo", HALO)))
+        return ByteReader(self.options["path"], int(self.options.get("chunk", CHUNK)), int(self.options.get("halo", HALO)), self.options.get("joined", "false") == "true")
 
 
 @dataclass
 class Range(InputPartition):
+    """Bytes of a text, which is of a file, or of several: those (path, start in the text, size) that this range and its halo touch."""
+
     path: str
     start: int
     end: int
+    files: list[tuple[str, int, int]]
 
 
 class ByteReader(DataSourceReader):
-    def __init__(self, path: str, chunk: int, halo: int):
+    def __init__(self, path: str, chunk: int, halo: int, joined: bool = False):
         if chunk < 1 or halo < 0:
             raise ValueError("a chunk has at least a byte, a halo none or more")
-        self.path, self.chunk, self.halo = path, chunk, halo
+        self.path, self.chunk, self.halo, self.joined = path, chunk, halo, joined
 
     def partitions(self) -> list[Range]:
         step = max(1, TASK_BYTES // self.chunk) * self.chunk
-        return [Range(f.path, at, min(at + step, f.size)) for f in files_at(self.path) for at in range(0, f.size, step)] or [Range("", 0, 0)]
+        found = files_at(self.path)
+        files = [(f.path, start, f.size) for f, start in zip(found, accumulate((f.size for f in found), initial=0), strict=False)]
+        texts = [(self.path, files)] if self.joined else [(path, [(path, 0, size)]) for path, _, size in files]
+        out = []
+        for path, of in texts:
+            end = sum(size for _, _, size in of)
+            for at in range(0, end, step):
+                upto = min(at + step, end)
+                out.append(Range(path, at, upto, [(p, start, size) for p, start, size in of if start < upto + self.halo and start + size > at]))
+        return out or [Range("", 0, 0, [])]
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
-        if part.start == part.end:
-            return
-        with file_system(self.path)[0].open_input_file(part.path) as f:
-            for at in range(part.start, part.end, self.chunk):
-                data = f.read_at(self.chunk + self.halo, at)
-                columns = [pa.array([part.path]), pa.array([at], pa.int64()), pa.array([data[: self.chunk]], pa.binary()), pa.array([data[self.chunk :]], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["path", "offset", "content", "after"])
-
-
-def file_chunks(spark: SparkSession, path: str, chunk: int = CHUNK, halo: int = HALO) -> DataFrame:
-    """path, offset, content, after of a file of any size, or of all files of a folder. An empty file has no chunk."""
+        fs = file_system(self.path)[0]
+        for at in range(part.start, part.end, self.chunk):
+            until, pieces = at + self.chunk + self.halo, []
+            for path, start, size in part.files:
+                low, high = max(at, start), min(until, start + size)
+                if low < high:
+                    with fs.open_input_file(path) as f:
+                        pieces.append(f.read_at(high - low, low - start))
+            data = b"".join(pieces)
+            columns = [pa.array([part.path]), pa.array([at], pa.int64()), pa.array([data[: self.chunk]], pa.binary()), pa.array([data[self.chunk :]], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["path", "offset", "content", "after"])
+
+
+def file_chunks(spark: SparkSession, path: str, chunk: int = CHUNK, halo: int = HALO, joined: bool = False) -> DataFrame:
+    """path, offset, content, after of a file of any size, or of all files of a folder. An empty file has no chunk. joined: the files of a folder, in the order of their paths, are one text."""
     spark.dataSource.register(ByteSource)
-    return spark.read.format("bytes").options(path=path, chunk=chunk, halo=halo).load()
+    return spark.read.format("bytes").options(path=path, chunk=chunk, halo=halo, joined=joined).load()
 
 
 def text_chunks(df: DataFrame, chunk: int = CHUNK, halo: int = HALO) -> DataFrame:

@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from suffixspark.jobs.build_ssa import build
+from suffixspark.jobs.catalog import QUERIES
 from suffixspark.operators import codes, packing, transforms
 from suffixspark.operators.compress import pack_bits, unpack_bits
 from suffixspark.operators.suffix_sort import full_then_sample, ladder, sort_chunks, suffix_order
@@ -125,6 +126,31 @@ def test_build_from_chunks(spark, tmp_path, compressed, optimized):
     assert (tmp_path / "out").read_bytes() == file_bytes(text, 3, compressed)
 
 
+def test_files_of_a_folder_as_one_text(spark, tmp_path):
+    """Files shorter than a chunk or its halo, empty ones, and hidden ones, which are no part of it."""
+    r = random.Random(8)
+    parts = [bytes(r.choices(b"ACGT", k=n)) for n in (0, 1, 500, 3, 0, 64, 700)]
+    (tmp_path / "table").mkdir()
+    for i, part in enumerate(parts):
+        (tmp_path / "table" / f"part-{i}").write_bytes(part)
+    (tmp_path / "table" / "_SUCCESS").write_bytes(b"other")
+    text = b"".join(parts)
+    assert whole(file_chunks(spark, f"{tmp_path}/table", 100, 62, joined=True).collect(), 100, 62) == text
+    for kernel_bytes in (1 << 20, 500):
+        build(spark, f"{tmp_path}/table", f"{tmp_path}/out", 3, True, kernel_bytes=kernel_bytes, joined=True)
+        assert (tmp_path / "out").read_bytes() == file_bytes(text, 3, True)
+
+
+def test_build_query_of_a_table_of_several_files(spark, tmp_path):
+    r = random.Random(9)
+    parts = [bytes(r.choices(b"ACGT", k=300)) for _ in range(3)]
+    (tmp_path / "conversations.parquet").mkdir()
+    for i, part in enumerate(parts):
+        (tmp_path / "conversations.parquet" / f"part-{i}.parquet").write_bytes(part)
+    rows = QUERIES["q17_build_file"](spark, str(tmp_path)).orderBy("rank").collect()
+    assert [row["pos"] for row in rows] == brute(b"".join(parts), 5) and [row["rank"] for row in rows] == list(range(180))
+
+
 def test_build_of_an_empty_file(spark, tmp_path):
     (tmp_path / "text").write_bytes(b"")
     build(spark, f"{tmp_path}/text", f"{tmp_path}/out", 3)
